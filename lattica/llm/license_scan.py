@@ -84,12 +84,12 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     literal = lambda ws: f"array({known_set(ws)})"
     blocks = F.expr(
         f"""IF(arrays_overlap(words, {literal(keys)}),
-          filter(transform(split(low, '\\n'), b -> array_intersect({literal(order)}, split(b, '{BREAKS}'))),
+          filter(transform(split(low, '\\n'), b -> array_intersect({literal(order)}, split(b, r'{BREAKS}'))),
                  h -> size(h) >= {least} AND arrays_overlap(h, {literal(keys)})),
           CAST(array() AS array<array<string>>))"""
     )
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"), words_of(F.col("text")).alias("words"))
-    base = base.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.transform(F.array(*[starts(p) for p, _ in PHRASES]), lambda x: x).alias("places"), blocks.alias("blocks"))
+    base = base.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.array(*[starts(p) for p, _ in PHRASES]).alias("places"), blocks.alias("blocks"))
     place = lambda f: F.expr(f"{f}(flatten(places))").cast("long")
     base = base.select(
         "doc_id", "text_key", "n_words", F.expr("cast(size(flatten(places)) AS long)").alias("n_base"), place("array_min").alias("first_word"), place("array_max").alias("last_word"),

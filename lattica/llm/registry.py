@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import OP5_SQL, op5_decontamination
 from .language_id import op10_language_id
 from .license_scan import OP4_SQL, op4_license_scan
+from .near_dedup import op2_near_dedup
 from .packing import op6_best_fit_packing
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_near_dedup": op2_near_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_warc": op7_warc,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
@@ -25,4 +29,5 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
     "op4_license_scan": OP4_SQL,
     "op5_decontamination": OP5_SQL,
+    "op7_warc": OP7_SQL,
 }
