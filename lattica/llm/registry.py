@@ -13,11 +13,13 @@ from .near_dedup import op2_near_dedup
 from .packing import op6_best_fit_packing
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .substring_dedup import op3_substring_dedup
 from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
