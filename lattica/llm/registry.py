@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import OP5_SQL, op5_decontamination
 from .language_id import op10_language_id
 from .license_scan import OP4_SQL, op4_license_scan
+from .lm_scoring import op8_lm_scoring
 from .near_dedup import op2_near_dedup
 from .packing import op6_best_fit_packing
 from .quality_classifier import op9_quality_classifier
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
