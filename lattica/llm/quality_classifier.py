@@ -136,6 +136,24 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, fitted boolean")
 
 
+def good_documents(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """The rows that score at least threshold, with all their columns; all rows without a model."""
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        texts = as_bytes(batch.column(at))
+        for a, b in blocks([len(t) for t in texts], 2 << 20, 256):
+            ok = pa.array(held.value.score(texts[a:b]) >= threshold)
+            yield {name: column[a:b].filter(ok) for name, column in zip(names, batch.columns, strict=True)}
+
+    schema = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(names, docs.schema, strict=True))
+    return map_arrow(docs.toDF(*names), work, schema).toDF(*docs.columns)
+
+
 THRESHOLD = 0.7
 
 

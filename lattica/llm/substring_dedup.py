@@ -272,10 +272,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """The input's columns doc_id and text, with spans (merged byte ranges) and rest (the remaining bytes)."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id"))
-    marks = repeated_spans(base, length, most)
-    joined = base.select("doc_id", F.col("text").cast("binary").alias("data"), *text_keys()).join(marks, ["k1", "k2"], "left").select("doc_id", "data", "copied", "spans")
+    """row (the input's columns but text), n_bytes, spans (merged byte ranges) and rest (the remaining bytes)."""
+    others = [f"`{c}`" for c in docs.columns if c != "text"]
+    base = docs.select(F.struct(*others).alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("row.doc_id"))
+    marks = repeated_spans(base.select("text", "rid"), length, most)
+    joined = base.select("row", F.col("text").cast("binary").alias("data"), *text_keys()).join(marks, ["k1", "k2"], "left").select("row", "data", "copied", "spans")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         spans_of, rest, n_bytes = [], [], []
@@ -290,13 +291,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) ->
             rest.append(b"".join(kept))
             n_bytes.append(len(data))
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield {"doc_id": batch.column(0), "n_bytes": n_bytes, "spans": pa.array(spans_of, kind), "rest": pa.array(rest, pa.binary())}
+        yield {"row": batch.column(0), "n_bytes": n_bytes, "spans": pa.array(spans_of, kind), "rest": pa.array(rest, pa.binary())}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(joined, work, f"doc_id {kind}, n_bytes long, spans array<struct<a:int,b:int>>, rest binary")
+    return map_arrow(joined, work, f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<a:int,b:int>>, rest binary")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
