@@ -31,7 +31,7 @@ END_ID = 0
 #: Pieces a group: bounds a packing task's memory and time.
 GROUP_PIECES = 16_000
 #: Words whose ids a worker keeps; the least recent half goes when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 TAIL = b".,;:!?"
 
 
@@ -49,35 +49,50 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.closing = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.closing[i] = token.endswith("</w>")
         self.kept: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> None:
-        """One call for many words of letters, each then a pre-token; all others go one by one."""
-        single = [w for w in words if not w.decode("utf-8", "replace").isalpha()]
-        plain = [w for w in words if w.decode("utf-8", "replace").isalpha()]
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            enc = self.tok.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ids, at = np.array(enc.ids, "<u4"), np.array(enc.word_ids)
-            if at[-1] + 1 != len(part):  # a letter that folds to more than letters parted a word
-                single += part
+    def _one_by_one(self, words: list[str]) -> None:
+        for w, enc in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.kept[w.encode()] = np.array(enc.ids, "<u4").tobytes()
+
+    def _encode(self, words: list[str]) -> None:
+        """Words of letters are a pre-token each and go by hundreds in a text, to be parted again behind ids that close a word; all others go one by one."""
+        plain, kept = [w for w in words if w.isalpha()], self.kept
+        parts = [plain[a : a + 200] for a in range(0, len(plain), 200)]
+        for part, enc in zip(parts, self.tok.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(enc.ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(part):  # a letter that folds to more than letters parted a word
+                self._one_by_one(part)
                 continue
-            edge = np.searchsorted(at, np.arange(len(part) + 1))
-            for i, w in enumerate(part):
-                self.kept[w] = ids[edge[i] : edge[i + 1]].tobytes()
-        for w, enc in zip(single, self.tok.encode_batch([w.decode("utf-8", "replace") for w in single], add_special_tokens=False), strict=True):
-            self.kept[w] = np.array(enc.ids, "<u4").tobytes()
+            data, a = ids.tobytes(), 0
+            for w, b in zip(part, (4 * ends).tolist(), strict=True):
+                kept[w.encode()] = data[a:b]
+                a = b
+        self._one_by_one([w for w in words if not w.isalpha()])
 
     def _learn(self, words: set[bytes]) -> None:
         """Closing marks behind a letter are a pre-token of their own, so a word's ids are its core's and theirs."""
-        parts = {}
+        kept, joined, new = self.kept, [], set()
         for w in words:
             core = w.rstrip(TAIL)
-            parts[w] = (core, w[len(core) :]) if core and core[-4:].decode("utf-8", "ignore")[-1:].isalpha() else (w, b"")
-        self._encode([x for x in {x for p in parts.values() for x in p} if x and x not in self.kept])
-        for w, (core, tail) in parts.items():
-            if tail:
-                self.kept[w] = self.kept[core] + self.kept[tail]
+            text = core.decode("utf-8", "replace")
+            if len(core) == len(w):
+                new.add(text)
+            elif text[-1:].isalpha():
+                joined.append((w, core))
+                if core not in kept:
+                    new.add(text)
+                if w[len(core) :] not in kept:
+                    new.add(w[len(core) :].decode())
+            else:
+                new.add(w.decode("utf-8", "replace"))
+        self._encode(list(new))
+        for w, core in joined:
+            kept[w] = kept[core] + kept[w[len(core) :]]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -87,14 +102,13 @@ class WordTokenizer:
                 del kept[w]
         # capitals of A-Z fold before the split unless a text may hold a special token, which is matched as it stands
         split = [None if any(s in t for s in self.special) else t.lower().split() for t in texts]
-        new = {w for ws in split if ws for w in ws if w not in kept}
-        self._learn(new)
+        self._learn(set().union(*[ws for ws in split if ws]).difference(kept))
         out = []
         for t, ws in zip(texts, split, strict=True):
             if ws is None:
                 out.append(np.array(self.tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                out.append(b"".join([kept[w] for w in ws]))
+                out.append(b"".join(map(kept.__getitem__, ws)))
         return out
 
 
