@@ -108,14 +108,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
-def with_revisits(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
-    """page_id, url, payload (null on revisits), digest, size, refers_to. Payloads cross a join on their digest only where it is shared."""
-    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    base = base.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("size"))
-    shared = base.filter(F.col("size") >= least_shared).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL").drop("n")
-    refers = F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True)) & F.col("first_id").isNotNull(), F.col("first_id"))
-    joined = base.join(shared, "digest", "left").withColumn("refers_to", refers)
-    return joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "size", "refers_to")
+def revisits(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
+    """page_id, digest, refers_to of the records that repeat a payload; no payload is exchanged."""
+    base = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    ids = base.filter(F.length("payload") >= least_shared).select("page_id", F.sha2("payload", 256).alias("digest"))
+    shared = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL").drop("n")
+    again = F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True))
+    return ids.join(shared, "digest").filter(again).select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
 
 
 def id_ranges(pages: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
@@ -147,13 +146,17 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, s
         shard = F.lit(0)
     else:
         shard = shard_of("page_id")
-    dealt = with_revisits(pages).withColumn("shard", shard)
-    order = ["shard", F.col("page_id").asc_nulls_last(), "url", "digest"]
+    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    records = base.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
+    # what a record refers to stands before it in the sort, so payloads are exchanged once
+    marks = revisits(pages).select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
+    dealt = records.unionAll(marks).withColumn("shard", shard)
+    order = ["shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url"]
     placed = dealt.repartitionByRange(len(splits) + 1, "shard").sortWithinPartitions(*order)
     temp = f"{folder.rstrip('/')}/_temporary"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt, out, current, shard, seq = uuid.uuid4().hex, None, {}, None, 0
+        attempt, out, current, shard, seq, mark = uuid.uuid4().hex, None, {}, None, 0, None
         disk, root = filesystem(temp)
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -167,8 +170,12 @@ def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, s
         arrow = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temp", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("first_id", pa.string()), ("last_id", pa.string()), ("sha256", pa.string())])
         for batch in batches:
             for r in batch.to_pylist():
-                page = None if r["page_id"] is None else str(r["page_id"])
-                data = gzip_member(record(page, r["url"], r["payload"] or b"", r["digest"], r["size"], None if r["refers_to"] is None else str(r["refers_to"])))
+                if r["kind"] == 0:
+                    mark = r
+                    continue
+                page, payload = None if r["page_id"] is None else str(r["page_id"]), r["payload"]
+                again = mark is not None and mark["page_id"] == r["page_id"] and mark["digest"] == r["digest"]
+                data = gzip_member(record(page, r["url"], payload, r["digest"], len(payload), str(mark["refers_to"]) if again else None))
                 if out is not None and (r["shard"] != shard or current["bytes"] + len(data) > roll_bytes):
                     yield from close()
                     seq = seq + 1 if r["shard"] == shard else 0
