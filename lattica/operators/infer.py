@@ -137,3 +137,41 @@ def random_subsets(labels: DataFrame, value: str, sizes: Sequence[int], repeats:
         return pd.Series([float(np.random.Generator(np.random.PCG64([seed, s, r])).choice(v, s, replace=False).mean()) if s <= len(v) else None for v, s, r in zip(x, size, repeat, strict=True)])
 
     return plan.crossJoin(F.broadcast(packed)).select("size", "repeat", drawn("x", "size", "repeat").alias("mean"))
+
+
+def metric_intervals(components: DataFrame, by: Sequence[str], cluster: str, label: str, means: Sequence[str], bins: Sequence[str], draws: int = 1000, seed: int = 0) -> DataFrame:
+    """by, metric, estimate, low, high, status: percentile intervals of several metrics at once from additive parts (a row a group). macro_<first mean> is the mean of label means, the others are means over groups, ece the sum of absolute bin means; all are computed anew in each draw, so their denominators are resampled too. A task gets a row for each cluster and label."""
+    sums = components.groupBy(*by, cluster, label).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in [*means, *bins]])
+    kinds = {f.name: f.dataType.simpleString() for f in components.schema}
+    names = [f"macro_{means[0]}", *means, *(["ece"] if bins else [])]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values([cluster, label])
+        clusters, at = np.unique(f[cluster].to_numpy(), return_inverse=True)
+        labels, lab = np.unique(f[label].to_numpy(), return_inverse=True)
+        values, n = f[[*means, *bins]].to_numpy(float), f["n"].to_numpy(float)
+        one_hot = np.eye(len(labels))[lab]
+
+        def metrics(w: np.ndarray) -> np.ndarray:
+            rows = w[:, at]
+            total = np.maximum(rows @ n, 1e-300)
+            pooled = (rows @ values) / total[:, None]
+            per_label, size = (rows * values[:, 0]) @ one_hot, (rows * n) @ one_hot
+            seen = size > 0
+            macro = np.where(seen, per_label / np.where(seen, size, 1), 0).sum(1) / np.maximum(seen.sum(1), 1)
+            parts = [macro[:, None], pooled[:, : len(means)]]
+            if bins:
+                parts.append(np.abs(pooled[:, len(means) :]).sum(1, keepdims=True))
+            return np.hstack(parts)
+
+        estimate, c = metrics(np.ones((1, len(clusters))))[0], len(clusters)
+        head = {b: f[b].iloc[0] for b in by}
+        if c < 2:
+            return pd.DataFrame([head | {"metric": m, "estimate": e, "low": None, "high": None, "status": "NOT_ESTIMABLE"} for m, e in zip(names, estimate, strict=True)])
+        rng = np.random.Generator(np.random.PCG64(seed))
+        drawn = np.vstack([metrics(rng.multinomial(c, np.full(c, 1 / c), size=min(100, draws - s)).astype(float)) for s in range(0, draws, 100)])
+        low, high = np.percentile(drawn, [2.5, 97.5], axis=0)
+        return pd.DataFrame([head | {"metric": m, "estimate": e, "low": a, "high": b, "status": "OK" if b > a else "EMPIRICAL_DEGENERATE"} for m, e, a, b in zip(names, estimate, low, high, strict=True)])
+
+    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", metric string, estimate double, low double, high double, status string"
+    return sums.groupBy(*by).applyInPandas(lambda f: run(f)[[*by, "metric", "estimate", "low", "high", "status"]], schema)

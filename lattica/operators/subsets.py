@@ -65,3 +65,37 @@ def pairs_within(photos: Column) -> Column:
     n = F.size(photos)
     rows = F.transform(photos, lambda x, i: F.transform(F.slice(photos, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b"))))
     return F.flatten(rows)
+
+
+def samples(groups: DataFrame, key: str, k: int, mode: str, seed: int = 0, epoch: int = 0, ids: str = "ids") -> DataFrame:
+    """key, photo_ids: the k-subsets of a group's ids that a training pass takes: all (exhaustive), the first, or one at random by stable key. Groups with fewer than k ids have none."""
+    plan = budget_plan(groups, key, [k], seed, ids=ids)
+    if mode == "exhaustive":
+        return plan.select(key, "photo_ids")
+    packed = plan.groupBy(key).agg(F.array_sort(F.collect_list("photo_ids")).alias("all"))
+    if mode == "first":
+        at = F.lit(0)
+    elif mode == "random":
+        draw = F.conv(F.substring(stable_hex(F.lit(seed), F.lit(epoch), F.col(key)), 1, 12), 16, 10).cast("long")
+        at = (draw % F.size("all")).cast("int")
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    return packed.select(key, F.get("all", at).alias("photo_ids"))
+
+
+def prediction_frame(scored: DataFrame, key: str, ids: Column, prediction: Column) -> DataFrame:
+    """Subset predictions in their exchange form: key, budget, label, prediction, photo_ids as text, probabilities as JSON."""
+    return scored.select(key, F.col("k").alias("budget"), "label", prediction.alias("prediction"), F.array_join(F.transform(members(ids, F.col("mask")), lambda x: x.cast("string")), ";").alias("photo_ids"), F.to_json("p").alias("probabilities_json"))
+
+
+def record_faults(records: DataFrame, groups: DataFrame, key: str, classes: int) -> DataFrame:
+    """key, photo_ids, fault of stored predictions against groups (key, ids, label): unknown group, wrong size, foreign member, wrong label, and the vector's own faults."""
+    from lattica.functions.scalars import ids_of_text, vector_of_json
+    from lattica.functions.scoring import faults
+
+    both = records.join(groups.select(key, "ids", F.col("label").alias("true_label")), key, "left")
+    own = ids_of_text(F.col("photo_ids"))
+    p = vector_of_json(F.col("probabilities_json"))
+    checks = {"foreign_member": F.size(F.array_except(own, F.coalesce("ids", F.expr("array()")))) > 0, "unknown_group": F.col("ids").isNull(), "wrong_label": F.col("label") != F.col("true_label"), "wrong_size": (F.size(own) != F.col("budget")) | (F.size(F.array_distinct(own)) != F.size(own))}
+    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
+    return both.select(key, "photo_ids", F.explode(F.concat(found, faults(p, F.col("prediction"), classes))).alias("fault"))
