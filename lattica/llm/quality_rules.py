@@ -95,8 +95,8 @@ BASE_RULES = (
 )
 RULES = (
     *BASE_RULES,
-    Rule("symbols", lambda t: 10 * t.n_symbols > t.word_chars),
-    Rule("dup_lines", lambda t: 10 * t.n_dup_lines > 3 * len(t.lines)),
+    Rule("symbols", lambda t: 30 * t.n_symbols > t.word_chars),
+    Rule("dup_lines", lambda t: t.n_dup_lines >= 3 and 10 * t.n_dup_lines > 3 * len(t.lines)),
     Rule("word_length", lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 15 * t.n_words),
 )
 
@@ -177,7 +177,7 @@ m AS (SELECT g.doc_id, n AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+'
       FROM g LEFT JOIN o USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > word_chars
-            OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 30 * n_symbols > word_chars
+            OR (n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines) OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM m
 """
