@@ -16,10 +16,12 @@ allows.
 
 Copies are one node. Buckets never pair all their members: shingles that only one
 candidate text holds bound from above what it can share, which removes every text that
-cannot reach 0.8 with any other (exactly, not by a cap); the rest are first compared
-with their bucket's hub, the member with the fewest such shingles, and pairs of one class
-are not compared again. What then still shares a bucket across classes and passes the
-bound is compared pair by pair, so no candidate link between different texts is lost.
+cannot reach 0.8 with any other (exactly, not by a cap). The rest are first compared with
+their bucket's hub, the member with the fewest such shingles; pairs that this leaves in
+one class are not compared again. Two members of different classes can only be linked if
+they share a shingle that the hub lacks, which is rare and the key that brings them
+together, or if both share enough with the hub itself, which needs a partner shorter than
+the hub. Both are exact, so no candidate link between different texts is lost.
 Classes are connected components by label propagation on tables in the shared folder.
 
 Null and blank texts are a class each; a null doc_id has a null class;
@@ -196,28 +198,33 @@ def reaches(similarity: float) -> Column:
     return most >= F.lit(similarity) * (F.col("n") + F.col("n2") - most) - 1e-9
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) that the alignment links."""
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     named = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
+    return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
+
+
+def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b, linked (by the alignment), o (distinct shingles in both) and outside (those of a that b lacks)."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         hasher = work_state()
 
         @lru_cache(64)
-        def parsed(t: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def parsed(t: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = shingles(t, hasher)
-            return h, labelled(h)
+            return h, labelled(h), np.unique(h)
 
-        ok = []
+        linked, both, outside = [], [], []
         for x, y in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-            (p, lp), (q, lq) = parsed(x), parsed(y)
-            ok.append(aligned(p, q, lp, lq, similarity) >= similarity - 1e-9)
-        ok = pa.array(ok)
-        yield {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
+            (p, lp, dp), (q, lq, dq) = parsed(x), parsed(y)
+            linked.append(aligned(p, q, lp, lq, similarity) >= similarity - 1e-9)
+            rest = np.setdiff1d(dp, dq, assume_unique=True)
+            both.append(len(dp) - len(rest))
+            outside.append(rest.view(np.int64))
+        yield {"a": batch.column(0), "b": batch.column(1), "linked": linked, "o": both, "outside": pa.array(outside, pa.list_(pa.int64()))}
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return map_arrow(both, work, f"a {kind}, b {kind}")
+    return map_arrow(with_texts(pairs, texts), work, f"a {kind}, b {kind}, linked boolean, o long, outside array<long>")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -240,20 +247,31 @@ def link(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) ->
     own = unique_shingles(texts)
     able = nodes.join(texts.select("node"), "node", "left_semi").join(own, "node", "left").withColumn("n_own", F.coalesce("n_own", F.lit(0)))
     able = written(able.filter(F.col("n") - F.col("n_own") >= F.lit(similarity) * F.col("n") - 1e-9), "able")
-    rows = written(buckets(able), "buckets")
+    rows = buckets(able)
     # each member with its bucket's hub, the text that shares most
-    hub = rows.groupBy("bucket").agg(F.min(F.struct("n_own", "node", "n")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n2"), F.col("hub.n_own").alias("n_own2"))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = rows.join(hub, "bucket").filter((F.col("node") != F.col("hub")) & reaches(similarity)).select(*pair("node", "hub")).distinct()
-    links = written(verified(first, texts, similarity), "links")
-    # what shares a bucket across classes still
-    classes = components(links)
-    classed = rows.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    split = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
-    left = written(classed.join(split, "bucket"), "left")
-    other = left.select("bucket", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("n_own").alias("n_own2"), F.col("class").alias("class2"))
-    rest = left.join(other, "bucket").filter((F.col("node") < F.col("node2")) & (F.col("class") != F.col("class2")) & reaches(similarity)).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    return links.union(verified(rest.join(first, ["a", "b"], "left_anti"), texts, similarity))
+    hub = rows.groupBy("bucket").agg(F.min(F.struct("n_own", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
+    stars = written(rows.join(hub, "bucket").select("hub", "node", "n", "n_own").distinct(), "stars")
+    star = written(compared(stars.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, similarity), "star")
+    links = star.filter("linked").select("a", "b")
+    # members of one hub in different classes: what they share beside the hub's shingles is rare, and brings them together
+    classed = stars.join(components(links), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    split = classed.groupBy("hub").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("n").alias("least_n")).filter("low <> high").select("hub", "least_n")
+    known = classed.join(split, "hub").join(star.select(F.col("a").alias("node"), F.col("b").alias("hub"), "o", "outside"), ["hub", "node"], "left")
+    known = written(known.withColumn("o", F.coalesce("o", "n")), "known")
+    facts = ["node", "n", "n_own", "o", "class"]
+    second = [F.col(c).alias(f"{c}2") for c in facts]
+    beside = known.select("hub", *facts, F.explode("outside").alias("shingle"))
+    mixed_up = beside.groupBy("hub", "shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("hub", "shingle")
+    beside = written(beside.join(mixed_up, ["hub", "shingle"]), "beside")
+    cross = (F.col("class") != F.col("class2")) & reaches(similarity)
+    pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
+    rare = beside.join(beside.select("hub", "shingle", *second), ["hub", "shingle"]).filter((F.col("node") < F.col("node2")) & cross).select(*pair)
+    # without a shingle beside the hub's, both must share enough with the hub: the partner is then shorter than the hub
+    share = F.lit(similarity / (1 + similarity))
+    short = known.filter(F.floor(F.col("o") / share + 1e-9) - F.col("n") >= F.col("least_n"))
+    inside = short.join(known.select("hub", *second), "hub").filter((F.col("node") != F.col("node2")) & cross & (F.least("o", "o2") >= share * (F.col("n") + F.col("n2")) - 1e-9)).select(*pair)
+    rest = rare.union(inside).distinct().join(star.select(*[F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]), ["a", "b"], "left_anti")
+    return links.union(compared(rest, texts, similarity).filter("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
