@@ -69,6 +69,17 @@ def text_of_ids(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda a: a.cast("string")), ";")
 
 
+def resolved_path(base: Column, path: Column) -> Column:
+    """An absolute path or URI as it stands, another one under base."""
+    return F.when(path.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), path).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), path))
+
+
+def single_precision(x: Column) -> Column:
+    """x rounded to a float, so that it survives a text round trip; raises where it is not finite."""
+    bad = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
+    return F.when(bad, F.raise_error(F.lit("a value is not finite")).cast("float")).otherwise(x.cast("float"))
+
+
 def softmax(v: Column) -> Column:
     e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
     return F.transform(e, lambda x: x / total(e))

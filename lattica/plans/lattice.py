@@ -306,3 +306,35 @@ def masked_pools(spark, sf_dir):
 
     at = lambda c: F.transform("photos", lambda m: F.get(m["p"], F.lit(c)))
     return groups(spark, sf_dir).select("g", r(POOLS["mean"](at(0)), 12).alias("mean0"), POOLS["max"](at(0)).alias("max0"), r(POOLS["median"](at(1)), 12).alias("median1"), r(POOLS["trimmed"](at(2)), 12).alias("trimmed2"))
+
+
+@query(f"""WITH {POOLED_SQL}, e AS (SELECT g, label, avg(correct) AS m1, avg(top3) AS m2, avg(confidence) AS m3 FROM sc WHERE k = 2 GROUP BY ALL),
+u AS (SELECT g, label, 'm1' AS model, m1 AS v FROM e UNION ALL SELECT g, label, 'm2', m2 FROM e UNION ALL SELECT g, label, 'm3', m3 FROM e),
+d AS (SELECT a.label, a.model AS model_a, b.model AS model_b, a.v - b.v AS d FROM u a JOIN u b ON a.g = b.g AND a.model < b.model), l AS (SELECT label, model_a, model_b, avg(d) AS d FROM d GROUP BY ALL)
+SELECT model_a, model_b, round(avg(d), 8) AS difference, count(*) AS labels FROM l GROUP BY ALL""")
+def pairwise_models(spark, sf_dir):
+    """Macro differences of all pairs of models on the same groups, from one row a group."""
+    e = M.expected(scored(spark, sf_dir).filter("k = 2"), ["g", "label"], ["correct", "top3", "confidence"])
+    names = {"m1": "correct", "m2": "top3", "m3": "confidence"}
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), (F.col(names[a]) - F.col(names[b])).alias("d")) for a in names for b in names if a < b]))
+    d = e.select("label", pairs.alias("p")).select("label", "p.*")
+    return M.macro(d, ["model_a", "model_b"], ["d"]).select("model_a", "model_b", r("macro_d").alias("difference"), "labels")
+
+
+@query(f"""WITH {POOLED_SQL}, e AS (SELECT g, label, k, avg(correct) AS a, avg(nll) AS l FROM sc GROUP BY ALL), m AS (SELECT k, avg(a) AS accuracy, avg(l) AS nll FROM e GROUP BY k)
+SELECT k, 'accuracy' AS metric, round(accuracy, 8) AS value FROM m UNION ALL SELECT k, 'nll', round(nll, 8) FROM m""")
+def metric_rows(spark, sf_dir):
+    """A map of metrics as long rows."""
+    e = M.expected(scored(spark, sf_dir), ["g", "label"], ["correct", "nll"]).groupBy("k").agg(F.avg("correct").alias("a"), F.avg("nll").alias("l"))
+    return e.select("k", F.explode(F.create_map(F.lit("accuracy"), r("a"), F.lit("nll"), r("l"))).alias("metric", "value"))
+
+
+@query(f"""WITH {POOLED_SQL}, e AS (SELECT g, label, k, avg(correct) AS a FROM sc GROUP BY ALL), x AS (SELECT * FROM e WHERE g % 13 <> 5),
+f AS (SELECT k, avg(a) AS full_a FROM (SELECT k, label, avg(a) AS a FROM e GROUP BY ALL) GROUP BY k), y AS (SELECT k, avg(a) AS part_a FROM (SELECT k, label, avg(a) AS a FROM x GROUP BY ALL) GROUP BY k),
+n AS (SELECT k, count(*) AS groups, count(*) FILTER (g % 13 <> 5) AS covered FROM e GROUP BY k)
+SELECT k, groups, covered, round(part_a - full_a, 8) AS difference FROM f JOIN y USING (k) JOIN n USING (k)""")
+def mode_comparison(spark, sf_dir):
+    """All groups against those that an exclusion leaves."""
+    e = M.expected(scored(spark, sf_dir), ["g", "label"], ["correct"]).withColumn("kept", F.col("g") % 13 != 5)
+    l = e.groupBy("k", "label").agg(F.avg("correct").alias("a"), F.avg(F.when(F.col("kept"), F.col("correct"))).alias("b"), F.count("*").alias("n"), F.count_if("kept").alias("c"))
+    return l.groupBy("k").agg(F.sum("n").alias("groups"), F.sum("c").alias("covered"), r(F.avg("b") - F.avg("a")).alias("difference"))

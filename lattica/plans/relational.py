@@ -246,6 +246,43 @@ def selection_targets(spark, sf_dir):
     return select.targets(g, None, 3, 8).join(g, "taxon").select("taxon", "lower", "upper", F.greatest(3 - F.col("groups"), F.lit(0)).alias("shortfall"))
 
 
+@query("""SELECT o_orderpriority, o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY ALL""")
+def contingency(spark, sf_dir):
+    """Labels by observers, sparse: a dense matrix would grow with both."""
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.count_distinct("o_orderkey").alias("n"))
+
+
+@query("""WITH a AS (SELECT p_brand, p_type, avg(p_size) AS p FROM part GROUP BY ALL), b AS (SELECT p_brand, p_type, avg(p_size) AS q FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL)
+SELECT p_brand, p_type, round(p - q, 8) AS difference, (p < 25) <> (q < 25) AS flips FROM a JOIN b USING (p_brand, p_type)""")
+def exclusion_flips(spark, sf_dir):
+    """Cells whose verdict an exclusion turns; one scan for both branches."""
+    kept = F.when(F.col("p_partkey") % 7 != 0, F.col("p_size"))
+    a = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.avg("p_size").alias("p"), F.avg(kept).alias("q")).filter("q IS NOT NULL")
+    return a.select("p_brand", "p_type", r(F.col("p") - F.col("q")).alias("difference"), ((F.col("p") < 25) != (F.col("q") < 25)).alias("flips"))
+
+
+@query("""SELECT o_custkey, o_orderkey FROM orders JOIN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) BETWEEN 10 AND 12) USING (o_custkey)""")
+def group_predicate(spark, sf_dir):
+    """Rows of groups that meet a predicate on the whole group."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return o.withColumn("n", F.count("*").over(Window.partitionBy("o_custkey"))).filter("n BETWEEN 10 AND 12").drop("n")
+
+
+@query("""SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) = 5)""")
+def exact_group_sizes(spark, sf_dir):
+    """Members of classes that have exactly five."""
+    n = table(spark, sf_dir, "nation").withColumn("size", F.count("*").over(Window.partitionBy("n_regionkey"))).filter("size = 5")
+    return n.join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
+
+
+@query("""SELECT h, count(*) AS documents, min(doc_id) AS kept FROM (SELECT sha256(lower(text)) AS h, doc_id FROM documents) GROUP BY h HAVING count(*) > 1 AND min(doc_id) IN (SELECT doc_id FROM labels)""")
+def labelled_copies(spark, sf_dir):
+    """Groups of copies, case aside, whose first document is labelled."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("h"))
+    g = d.groupBy("h").agg(F.count("*").alias("documents"), F.min("doc_id").alias("kept")).filter("documents > 1")
+    return g.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("kept")), "kept", "left_semi").select("h", "documents", "kept")
+
+
 # Strata, bins, correction
 
 

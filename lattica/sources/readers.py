@@ -82,6 +82,24 @@ def feature_matrix(spark: SparkSession, matrix: str, index: DataFrame, key: str)
     return index.select(key, F.col("feature_row").cast("long")).join(matrix_rows, "feature_row").select(key, "feature")
 
 
+def named_arrays(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:
+    """key, vector: two arrays of .npz files side by side; one task a file."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        for f in frames:
+            for content in f["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    ids, x = z[key], z[vector]
+                if len(ids) != len(x):
+                    raise ValueError(f"{key} and {vector} differ in length")
+                for a in range(0, len(x), 4096):
+                    yield pd.DataFrame({key: ids[a : a + 4096].astype(np.int64), vector: [np.ravel(v).astype(float).tolist() for v in x[a : a + 4096]]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, f"`{key}` long, `{vector}` array<double>")
+
+
 def config(path: str) -> dict:
     """A JSON or YAML mapping with its path and digest; another root raises. The driver's, not a table."""
     import hashlib
