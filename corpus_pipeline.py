@@ -34,11 +34,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the byte ranges that other places repeat; a character that a range cuts goes whole, a text of which nothing is left goes."""
     found = substring_dedup.without_repeats(docs)
 
-    @F.pandas_udf("string")
-    def decoded(rest):
-        return rest.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    cut = found.select("row", F.when(F.size("spans") > 0, decoded("rest")).otherwise(F.col("rest").cast("string")).alias("text"), (F.size("spans") > 0).alias("cut"))
+    cut = found.select("row", "text", (F.size("spans") > 0).alias("cut"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.filter(~F.col("cut") | F.col("text").rlike(r"\S")).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

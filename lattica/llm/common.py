@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Blocks of this many text bytes or rows are worked on at once; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
-BLOCK_ROWS = 512
-ARROW_ROWS = "2000"
+BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 128
+ARROW_ROWS, ARROW_BYTES = "512", "8m"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch brings to a Python worker, for the rest of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -51,6 +53,32 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+_held: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks, for one operator at a time: another operator's cache goes first, so that stages run one after the other don't add up."""
+    if name not in _held:
+        forget(name)
+        _held[name] = make()
+    return _held[name]
+
+
+def forget(but: str) -> None:
+    """Drops what the worker holds for other operators than the one whose caches begin so."""
+    if any(not but or not k.startswith(but) for k in _held):
+        _held.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker that waits for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -68,15 +96,17 @@ def blocks(sizes: list[int], most_bytes: int = BLOCK_BYTES, most_rows: int = BLO
         yield start, end + 1
 
 
-def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow whose work gets a batch and yields dicts of columns."""
+def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, cache: str = "") -> DataFrame:
+    """mapInArrow whose work gets a batch and yields dicts of columns; cache names what its worker may keep."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(cache)
         for batch in batches:
             if batch.num_rows:
                 for columns in work(batch):
                     yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -41,12 +41,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, table, written
+from .common import as_bytes, map_arrow, table, worker_cache, written
 
 WORDS = 5
 SIMILARITY = 0.8
 ENTRIES = 16
 SAMPLED = 3
+CACHE = "shingles"
 #: ASCII that is no digit or letter parts words.
 FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,7 +63,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """64-bit hashes of words, kept for a bounded number of them."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.kept: dict[bytes, int] = {}
         self.most = most
 
@@ -160,19 +161,19 @@ def sketches(docs: DataFrame) -> DataFrame:
             keys.append(sketch(labelled(h)).view(np.int64) if len(h) else [])
         yield {"doc_id": batch.column(0), "k1": batch.column(2), "k2": batch.column(3), "n": n, "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    return map_arrow(rows, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, keys array<long>")
+    return map_arrow(rows, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, keys array<long>", CACHE)
 
 
-@lru_cache(1)
 def work_state() -> Hasher:
-    return Hasher()
+    return worker_cache(CACHE, Hasher)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """node and its columns by bucket key, buckets of one left out."""
     rows = nodes.select("*", F.explode("keys").alias("bucket")).drop("keys")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").drop("size")
-    return rows.join(shared, "bucket")
+    # a table of its own, so that the join deals both sides and a hot bucket can be split
+    return rows.join(written(shared, "shared"), "bucket")
 
 
 def unique_shingles(texts: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def unique_shingles(texts: DataFrame) -> DataFrame:
                 yield {"node": batch.column(0).take(pa.array(rows)), "shingle": np.concatenate(sets).view(np.int64)}
 
     kind = texts.schema["node"].dataType.simpleString()
-    each = map_arrow(texts.select("node", "text"), work, f"node {kind}, shingle long")
+    each = map_arrow(texts.select("node", "text"), work, f"node {kind}, shingle long", CACHE)
     single = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
     return single.groupBy("node").agg(F.count("*").alias("n_own"))
 
@@ -224,7 +225,7 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
         yield {"a": batch.column(0), "b": batch.column(1), "linked": linked, "o": both, "outside": pa.array(outside, pa.list_(pa.int64()))}
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return map_arrow(with_texts(pairs, texts), work, f"a {kind}, b {kind}, linked boolean, o long, outside array<long>")
+    return map_arrow(with_texts(pairs, texts), work, f"a {kind}, b {kind}, linked boolean, o long, outside array<long>", CACHE)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # one id, several rows: one text stands for it
         found = found.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n", "keys")).alias("r")).select("doc_id", "r.*")
     spoken = found.filter("n > 0")
-    by_text = spoken.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
+    by_text = written(spoken.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "by_text")  # for the same reason
     nodes = written(spoken.withColumnRenamed("doc_id", "node").join(by_text, ["k1", "k2", "node"]), "nodes")
     shared = buckets(nodes).select("node", "k1", "k2").distinct()
     named = docs.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")

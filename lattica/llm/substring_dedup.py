@@ -11,7 +11,7 @@ and a suffix that stands alone leaves the sort:
 2. Runs of one digit with equal bytes in two places are repeated as a whole; of each
    distinct content one run goes on, and only if its digit has another content.
 3. Within a digit the remaining windows are sorted by five digits of 40 bytes, most
-   significant first, in bounded batches. A digit with more than `most` contents, which
+   significant first, in bounded batches. A digit with more than `most` windows, which
    a very common passage brings about, is not gathered in one task: its windows become
    rows and are grouped by all digits at once, with partial counts.
 
@@ -36,7 +36,10 @@ from .common import as_bytes, blocks, map_arrow, table, written
 
 LENGTH = 200
 GRAM = 40
-MOST = 4000
+#: Windows of one digit's contents up to which a task gathers them.
+MOST = 400_000
+#: Bytes of text that are worked on at once.
+SEGMENT = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(3)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -110,11 +113,15 @@ def all_runs(docs: DataFrame, length: int) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = as_bytes(batch.column(0))
-        for a, b in blocks([len(t) for t in texts], 1 << 20):
-            found = list(text_runs(texts[a:b], length))
+        # a long text goes in segments that share no window start, so that a block stays small
+        parts = [(i, o) for i, t in enumerate(texts) for o in range(0, max(1, len(t) - length + 1), SEGMENT)]
+        cut = [texts[i][o : o + SEGMENT + length - 1] for i, o in parts]
+        for a, b in blocks([len(t) for t in cut], SEGMENT):
+            found = list(text_runs(cut[a:b], length))
             if found:
                 at, start, n, digit, content, again = zip(*found, strict=True)
-                at = pa.array([a + i for i in at])
+                start = [s + parts[a + i][1] for i, s in zip(at, start, strict=True)]
+                at = pa.array([parts[a + i][0] for i in at])
                 signed = lambda x: np.array(x, np.uint64).view(np.int64)
                 yield {"k1": batch.column(1).take(at), "k2": batch.column(2).take(at), "rid": batch.column(3).take(at), "start": np.array(start, np.int32), "n": np.array(n, np.int32), "digit": signed(digit), "content": signed(content), "again": list(again)}
 
@@ -189,7 +196,7 @@ def sorted_batches(parts: DataFrame, length: int) -> DataFrame:
         digits, contents, texts, held = [], [], [], 0
         for batch in batches:
             for d, c, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if held > 1 << 20 and d != digits[-1]:
+                if held > SEGMENT and d != digits[-1]:
                     if (done := settle(digits, contents, texts)) is not None:
                         yield done
                     digits, contents, texts, held = [], [], [], 0
@@ -206,11 +213,12 @@ def sorted_batches(parts: DataFrame, length: int) -> DataFrame:
 
 
 def counted_windows(parts: DataFrame, length: int) -> DataFrame:
-    """The same for digits with many contents: a row a window, grouped by all digits at once."""
+    """The same for digits with many windows: a row a window, grouped by all digits at once."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        for a in range(0, batch.num_rows, 256):
-            texts = as_bytes(batch.column(2)[a : a + 256])
+        every = as_bytes(batch.column(2))
+        for a, b in blocks([len(t) for t in every], SEGMENT):
+            texts = every[a:b]
             data, row, at = windows_of(texts, length)
             if not len(at):
                 continue
@@ -245,7 +253,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> D
     seen = written(seen.select("k1", "k2", "rid", "start", "n", "digit", "content", "whole", "shown", F.expr("several OR (again AND NOT whole)").alias("open")), "runs")
     # contents that go on, with the number of their digit
     going = seen.filter("open AND shown").select("digit", "content", "k1", "k2", "rid", "start", "n")
-    crowd = going.groupBy("digit").agg(F.approx_count_distinct("content").alias("contents")).filter(F.col("contents") > most).select("digit", F.lit(True).alias("many"))
+    # (a table of its own, so that the join below deals both sides and a hot digit can be split)
+    crowd = going.groupBy("digit").agg(F.sum("n").alias("windows")).filter(F.col("windows") > most)
+    crowd = written(crowd.select("digit", F.lit(True).alias("many")), "crowd")
     wanted = going.groupBy("rid", "k1", "k2").agg(F.collect_set(F.struct("start", "n", "digit", "content")).alias("wanted"))
     texts = docs.select("rid", *text_keys(), F.col("text").cast("binary").alias("data")).join(wanted, ["rid", "k1", "k2"])
     cut = texts.select("data", F.explode("wanted").alias("w")).select("w.digit", "w.content", F.expr(f"substring(data, w.start + 1, w.n + {length - 1})").alias("data"))
@@ -272,7 +282,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """row (the input's columns but text), n_bytes, spans (merged byte ranges) and rest (the remaining bytes)."""
+    """row (the input's columns but text), n_bytes, spans (merged byte ranges), rest (the remaining bytes) and text (rest without the characters that a range has cut)."""
     others = [f"`{c}`" for c in docs.columns if c != "text"]
     base = docs.select(F.struct(*others).alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("row.doc_id"))
     marks = repeated_spans(base.select("text", "rid"), length, most)
@@ -291,9 +301,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST) ->
             rest.append(b"".join(kept))
             n_bytes.append(len(data))
         kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        yield {"row": batch.column(0), "n_bytes": n_bytes, "spans": pa.array(spans_of, kind), "rest": pa.array(rest, pa.binary())}
+        yield {"row": batch.column(0), "n_bytes": n_bytes, "spans": pa.array(spans_of, kind), "rest": pa.array(rest, pa.binary()), "text": [x.decode("utf-8", "ignore") for x in rest]}
 
-    return map_arrow(joined, work, f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<a:int,b:int>>, rest binary")
+    return map_arrow(joined, work, f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, spans array<struct<a:int,b:int>>, rest binary, text string")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
