@@ -15,6 +15,7 @@ so their size, not the table's, decides the waste.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -24,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, table, written
+from .common import as_bytes, map_arrow, table, worker_cache, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces a group: bounds a packing task's memory and time.
 GROUP_PIECES = 16_000
 #: Words whose ids a worker keeps; the least recent half goes when it is full.
-CACHE_WORDS = 1_000_000
-TAIL = b".,;:!?"
+CACHE_WORDS = 600_000
+#: ASCII marks that may close a word; the apostrophe is left out, as some letters behind it belong to it.
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,6 +50,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        # words of a-z alone are as they stand after the tokenizer's normaliser and split: the bare model does for them
+        bare = json.loads(self.tok.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        for t in (self.tok, self.bare):
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # words are kept here
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.closing = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
@@ -60,9 +68,15 @@ class WordTokenizer:
 
     def _encode(self, words: list[str]) -> None:
         """Words of letters are a pre-token each and go by hundreds in a text, to be parted again behind ids that close a word; all others go one by one."""
-        plain, kept = [w for w in words if w.isalpha()], self.kept
-        parts = [plain[a : a + 200] for a in range(0, len(plain), 200)]
-        for part, enc in zip(parts, self.tok.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+        letters = [w for w in words if w.isalpha()]
+        self._joined([w for w in letters if w.isascii()], self.bare)
+        self._joined([w for w in letters if not w.isascii()], self.tok)
+        self._one_by_one([w for w in words if not w.isalpha()])
+
+    def _joined(self, words: list[str], tok) -> None:
+        kept = self.kept
+        parts = [words[a : a + 200] for a in range(0, len(words), 200)]
+        for part, enc in zip(parts, tok.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
             ids = np.array(enc.ids, "<u4")
             ends = np.flatnonzero(self.closing[ids]) + 1
             if len(ends) != len(part):  # a letter that folds to more than letters parted a word
@@ -72,17 +86,16 @@ class WordTokenizer:
             for w, b in zip(part, (4 * ends).tolist(), strict=True):
                 kept[w.encode()] = data[a:b]
                 a = b
-        self._one_by_one([w for w in words if not w.isalpha()])
 
     def _learn(self, words: set[bytes]) -> None:
-        """Closing marks behind a letter are a pre-token of their own, so a word's ids are its core's and theirs."""
+        """Closing marks behind a letter or digit are a pre-token of their own, so a word's ids are its core's and theirs."""
         kept, joined, new = self.kept, [], set()
         for w in words:
             core = w.rstrip(TAIL)
             text = core.decode("utf-8", "replace")
             if len(core) == len(w):
                 new.add(text)
-            elif text[-1:].isalpha():
+            elif text[-1:].lower().isalpha() or text[-1:].isdigit() and text[-1:].isascii():  # a letter may fold to a letter and a mark
                 joined.append((w, core))
                 if core not in kept:
                     new.add(text)
@@ -101,24 +114,29 @@ class WordTokenizer:
             for w in list(kept)[: CACHE_WORDS // 2]:
                 del kept[w]
         # capitals of A-Z fold before the split unless a text may hold a special token, which is matched as it stands
-        split = [None if any(s in t for s in self.special) else t.lower().split() for t in texts]
-        self._learn(set().union(*[ws for ws in split if ws]).difference(kept))
-        out = []
-        for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                out.append(np.array(self.tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(kept.__getitem__, ws)))
+        out, new, get = [], set(), kept.get
+        for t in texts:
+            if any(s in t for s in self.special):
+                out.append((None, t, None))
+                continue
+            words = t.lower().split()
+            ids = list(map(get, words))
+            missing = [i for i, x in enumerate(ids) if x is None]
+            new.update([words[i] for i in missing])
+            out.append((ids, words, missing))
+        self._learn(new)
+        for at, (ids, words, missing) in enumerate(out):
+            if ids is None:
+                out[at] = np.array(self.tok.encode(words.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            for i in missing:
+                ids[i] = kept[words[i]]
+            out[at] = b"".join(ids)
         return out
 
 
-_loaded: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
+    return worker_cache(f"tokenizer {path}", lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -139,39 +157,43 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             yield {"doc_id": batch.column(0).take(rows), "piece": pa.array(out.pop("piece"), pa.int32())} | out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select("doc_id", "text"), work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", "tokenizer")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; the pieces are taken longest first."""
-    full = np.array([capacity, max_docs or capacity, max_cost or capacity * capacity], np.float64)
-    w = np.array(weights)
-    order = np.argsort(-lengths, kind="stable")
+    full = (float(capacity), float(max_docs or capacity), float(max_cost or capacity * capacity))
     bins, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    room = np.zeros((1024, 3))  # residual share of each capacity, open bins only
-    names = np.zeros(1024, np.int64)
-    n_open, n_bins = 0, 0
+    room, names = np.zeros((3, 1024)), np.zeros(1024, np.int64)  # residual shares of the open bins
+    n_open, n_bins, slack = 0, 0, 1e-12
     least = lengths.min() / capacity if len(lengths) else 0
-    for at in order:
-        need = np.array([lengths[at], 1.0, float(lengths[at]) ** 2]) / full
+    for at in np.argsort(-lengths, kind="stable").tolist():
+        n = float(lengths[at])
+        need = (n / full[0], 1.0 / full[1], n * n / full[2])
         chosen = -1
-        if need[0] < 1.0 and n_open:
-            left = room[:n_open] - need
-            ok = (left >= -1e-12).all(1)
-            if ok.any():
-                value = (left * left) @ w if rule == "norm" else -((room[:n_open] * need) @ w)
-                chosen = int(np.where(ok, value, np.inf).argmin())
+        if n < capacity and n_open:
+            fits = np.flatnonzero(room[0, :n_open] >= need[0] - slack)
+            left = room[:, fits]
+            ok = (left[1] >= need[1] - slack) & (left[2] >= need[2] - slack)
+            if not ok.all():
+                fits, left = fits[ok], left[:, ok]
+            if len(fits):
+                if rule == "norm":
+                    value = sum(w * (x - y) ** 2 for w, x, y in zip(weights, left, need, strict=True))
+                else:
+                    value = -sum(w * x * y for w, x, y in zip(weights, left, need, strict=True))
+                chosen = int(fits[value.argmin()])
         if chosen < 0:
             if n_open == len(names):
-                room, names = np.vstack([room, np.zeros_like(room)]), np.concatenate([names, np.zeros_like(names)])
+                room, names = np.hstack([room, np.zeros_like(room)]), np.concatenate([names, np.zeros_like(names)])
             chosen, n_open = n_open, n_open + 1
-            room[chosen], names[chosen] = 1.0, n_bins
+            room[:, chosen], names[chosen] = 1.0, n_bins
             n_bins += 1
-        bins[at], offset[at] = names[chosen], round((1.0 - room[chosen, 0]) * capacity)
-        room[chosen] -= need
-        if (room[chosen] + 1e-12 < (least, 1 / full[1], 0)).any():  # nothing that is left fits: close it
+        bins[at], offset[at] = names[chosen], round((1.0 - room[0, chosen]) * capacity)
+        room[:, chosen] -= need
+        if room[0, chosen] < least - slack or room[1, chosen] < 1 / full[1] - slack or room[2, chosen] < -slack:  # nothing that is left fits: close it
             n_open -= 1
-            room[chosen], names[chosen] = room[n_open], names[n_open]
+            room[:, chosen], names[chosen] = room[:, n_open], names[n_open]
     return bins, offset
 
 
