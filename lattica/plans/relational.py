@@ -451,7 +451,7 @@ def group_cosine(spark, sf_dir):
 
 
 STRICT_SQL = f"""{LINES_SQL}, gg AS (SELECT DISTINCT g, label, n FROM ph), o AS (SELECT *, row_number() OVER (PARTITION BY label, n ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY label, n) AS m FROM gg),
-mp AS (SELECT s.g AS slot, p.r, q.photo, d.g AS donor FROM o s JOIN ph p ON p.g = s.g JOIN o d ON d.label = s.label AND d.n = s.n AND d.i = (s.i + 1 + p.r % (s.m - 1)) % s.m JOIN ph q ON q.g = d.g AND q.r = p.r WHERE s.m >= 3)"""
+mp AS (SELECT s.g AS slot, p.r, q.photo, d.g AS donor FROM o s JOIN ph p ON p.g = s.g JOIN o d ON d.label = s.label AND d.n = s.n AND d.i = (s.i + 1 + p.r % (s.m - 1)) % s.m JOIN ph q ON q.photo = d.g * 100 + p.r WHERE s.m >= 3)"""
 
 
 @query(f"WITH {STRICT_SQL} SELECT * FROM mp")
@@ -471,9 +471,9 @@ def photo_shift(spark, sf_dir):
     return regroup.circular_members(photos(spark, sf_dir), "g", "r", "photo", ["label", "n"])
 
 
-@query(f"""WITH {LINES_SQL}, mem AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY substr(sha256('3|' || g || '|' || photo), 1, 16), photo) - 1 AS rr FROM ph),
+@query(f"""WITH {LINES_SQL}, mem0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY substr(sha256('3|' || g || '|' || photo), 1, 16), photo) - 1 AS rr FROM ph), mem AS (SELECT *, g * 100 + rr AS place FROM mem0),
 gg AS (SELECT DISTINCT g, label, n FROM ph), o AS (SELECT *, row_number() OVER (PARTITION BY label, n ORDER BY substr(sha256('3|' || g), 1, 16), g) - 1 AS i, count(*) OVER (PARTITION BY label, n) AS m FROM gg)
-SELECT s.g AS slot, p.rr AS r, q.photo, d.g AS donor FROM o s JOIN mem p ON p.g = s.g JOIN o d ON d.label = s.label AND d.n = s.n AND d.i = (s.i + 1 + p.rr % (s.m - 1)) % s.m JOIN mem q ON q.g = d.g AND q.rr = p.rr WHERE s.m >= 3""")
+SELECT s.g AS slot, p.rr AS r, q.photo, d.g AS donor FROM o s JOIN mem p ON p.g = s.g JOIN o d ON d.label = s.label AND d.n = s.n AND d.i = (s.i + 1 + p.rr % (s.m - 1)) % s.m JOIN mem q ON q.place = d.g * 100 + p.rr WHERE s.m >= 3""")
 def hash_regroup(spark, sf_dir):
     """The same in an order that a seed gives."""
     return regroup.cross_groups(photos(spark, sf_dir), "g", "photo", "r", ["label", "n"], seed=3)
