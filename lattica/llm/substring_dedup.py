@@ -37,7 +37,7 @@ from .common import as_bytes, blocks, map_arrow, table, written
 LENGTH = 200
 GRAM = 40
 #: Windows of one digit's contents up to which a task gathers them.
-MOST = 400_000
+MOST = 2_000_000
 #: Bytes of text that are worked on at once.
 SEGMENT = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +54,8 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
         hashes[2 * step] = h[:-step] * powers[step] + h[step:]
         with np.errstate(over="ignore"):
             powers[2 * step] = powers[step] * powers[step]
+        if not size & step:
+            del hashes[step]  # only lengths that add up to size are needed
         step *= 2
     out, covered, n = hashes[step], step, len(data) - size + 1
     out = out[:n]
@@ -235,9 +237,12 @@ def counted_windows(parts: DataFrame, length: int) -> DataFrame:
             yield {"w1": w1.view(np.int64), "w2": w2.view(np.int64), "digit": batch.column(0).take(rows), "content": batch.column(1).take(rows), "rel": (at - offset[row]).astype(np.int32)}
 
     each = map_arrow(parts.dropDuplicates(["digit", "content"]).select("digit", "content", "data"), work, "w1 long, w2 long, digit long, content long, rel int")
-    several = each.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    hits = each.join(several, ["w1", "w2"]).groupBy("digit", "content").agg(F.array_sort(F.collect_set("rel")).alias("a"))
-    return hits.select("digit", "content", "a", F.transform("a", lambda x: (x + length).cast("int")).alias("b"))
+    # (a table of its own, so that a hot window's rows can be split in the join)
+    several = written(each.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "windows")
+    hits = each.join(several, ["w1", "w2"]).groupBy("digit", "content").agg(F.array_sort(F.collect_set("rel")).alias("rel"))
+    first = F.expr(f"filter(rel, (x, i) -> i = 0 OR x > rel[i - 1] + {length})")
+    last = F.expr(f"transform(filter(rel, (x, i) -> i = size(rel) - 1 OR rel[i + 1] > x + {length}), x -> cast(x + {length} AS int))")
+    return hits.select("digit", "content", first.alias("a"), last.alias("b"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:

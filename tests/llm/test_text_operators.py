@@ -114,7 +114,7 @@ def test_alignment_follows_order():
     assert near_dedup.aligned(h, turned, h, turned) <= 0.5
 
 
-@pytest.mark.parametrize("most", [4000, 1])
+@pytest.mark.parametrize("most", [2_000_000, 1])
 def test_substring_dedup(spark, rows, most):
     rows = [r for r in rows if r[0] != 71]
     found = substring_dedup.without_repeats(frame(spark, rows), 200, most).collect()
@@ -180,6 +180,9 @@ def test_packing(spark, rows):
     path = packing.vocabulary_path()
     tok = Tokenizer.from_file(path)
     tricky = [(80, "It's THE <|endoftext|> Ünïcode… don't!! ?!x 12,5 ß İstanbul école  a b.", "en"), (81, "naïve, naïve. (naïve) I'll 日本語。", "en")]
+    rng = random.Random(4)
+    marks = "aBé'1٣.,!?-_#$% \n\t<|>ßİǺ…—日ñ’\"\\x"
+    tricky += [(100 + i, "".join(rng.choices(marks, k=rng.randint(1, 60))), "en") for i in range(300)]
     rows = rows + tricky
     got = packing.pack(packing.pieces(frame(spark, rows), path), group_pieces=30).collect()
     want = []
