@@ -1,12 +1,16 @@
 """Licence scan as an exact set-similarity join of text blocks and licence templates.
 
-A block is a line of the text; it and a template are sets of words. A block meets a
+A block is a line of the text, or a run of as many words as the template's text has,
+wherever lines end, so that a wrapped notice is found too; it and a template are sets of
+words. A block meets a
 template if it holds at least the stated share (0.8) of the template's words. Words are
 ordered globally by the number of documents that hold them, rarest first. The join key
 is a word of the template's prefix (its first |T| - ceil(0.8 |T|) + 1 words in that order,
 of which every matching block holds one); the length filter asks for enough template
 vocabulary in the block, the positional filter for enough of it behind the key, and
-the containment itself is then computed exactly.
+the containment itself is then computed exactly. Runs are taken around each place of a
+key, where the words that they can reach must hold enough of the template.
+The SQL twin knows lines alone, so it finds no notice over a line end.
 
 DataFrame functions only. The template table is a fixed list, so its words are literals
 and it is broadcast. Null and empty texts have no words, places or labels. One row for
@@ -67,20 +71,21 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
     """doc_id, n_words, the places of base phrases, and `found`: the set of (label, containment) of matched templates."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets = [(label, sorted(set(text.split()))) for text, label in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    sets = [(label, sorted(set(text.split())), len(text.split())) for text, label in templates]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
     if not all(re.fullmatch(r"[0-9a-z\x80-\U0010ffff]+", w) for w in vocabulary):
         raise ValueError("a template's text must be words that single spaces part")
     order = document_frequency(docs, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
     rows = []
-    for k, (label, ws) in enumerate(sets):
+    for k, (label, ws, length) in enumerate(sets):
         ws = sorted(ws, key=rank.get)
         need = needed(len(ws), share)
-        rows += [(k, label, ws, need, i, w) for i, w in enumerate(ws[: len(ws) - need + 1])]
-    prefix = spark.createDataFrame(rows, "template int, label string, template_words array<string>, need int, template_at int, key string")
+        rows += [(k, label, ws, need, length, i, w) for i, w in enumerate(ws[: len(ws) - need + 1])]
+    prefix = spark.createDataFrame(rows, "template int, label string, template_words array<string>, need int, length int, template_at int, key string")
     least = min(r[3] for r in rows)
-    keys = sorted({r[5] for r in rows}, key=rank.get)
+    keys = sorted({r[6] for r in rows}, key=rank.get)
+    reach = max(r[4] for r in rows) - 1
     literal = lambda ws: f"array({known_set(ws)})"
     blocks = F.expr(
         f"""IF(arrays_overlap(words, {literal(keys)}),
@@ -88,21 +93,38 @@ def license_scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPL
                  h -> size(h) >= {least} AND arrays_overlap(h, {literal(keys)})),
           CAST(array() AS array<array<string>>))"""
     )
+    # what a run with the key can reach, for texts of several lines
+    runs = F.expr(
+        f"""IF(arrays_overlap(words, {literal(keys)}) AND instr(low, '\n') > 0,
+          filter(transform(words, (w, i) -> IF(w IN ({known_set(keys)}), struct(w AS key, CAST(least(i, {reach}) AS int) AS off, slice(words, greatest(i - {reach}, 0) + 1, least(i, {reach}) + {reach + 1}) AS near), NULL)),
+                 r -> r IS NOT NULL AND size(array_intersect({literal(order)}, r.near)) >= {least}),
+          CAST(array() AS array<struct<key: string, off: int, near: array<string>>>))"""
+    )
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"), words_of(F.col("text")).alias("words"))
-    base = base.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.array(*[starts(p) for p, _ in PHRASES]).alias("places"), blocks.alias("blocks"))
+    base = base.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.array(*[starts(p) for p, _ in PHRASES]).alias("places"), blocks.alias("blocks"), runs.alias("runs"))
     place = lambda f: F.expr(f"{f}(flatten(places))").cast("long")
     base = base.select(
         "doc_id", "text_key", "n_words", F.expr("cast(size(flatten(places)) AS long)").alias("n_base"), place("array_min").alias("first_word"), place("array_max").alias("last_word"),
         F.filter(F.array(*[F.when(F.size(F.col("places")[i]) > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]), lambda x: x.isNotNull()).alias("base_set"),
-        F.explode_outer("blocks").alias("hits"),
+        # the keys of each block, then those of the runs
+        F.explode_outer(
+            F.expr(
+                f"""concat(flatten(transform(blocks, h -> transform(array_intersect(h, {literal(keys)}), k -> struct(k AS key, h AS hits, CAST(NULL AS int) AS off, CAST(NULL AS array<string>) AS near)))),
+                  transform(runs, r -> struct(r.key AS key, CAST(NULL AS array<string>) AS hits, r.off AS off, r.near AS near)))"""
+            )
+        ).alias("block"),
     )
-    # a key of the block: its vocabulary stands in global order, so a position is a rank within the block
-    keyed = base.withColumn("key", F.explode_outer(F.expr(f"array_intersect(hits, {literal(keys)})"))).withColumn("at", F.array_position("hits", F.col("key")) - 1)
+    # a block's vocabulary stands in global order, so a position is a rank within the block
+    keyed = base.select("*", "block.*").drop("block").withColumn("at", F.array_position("hits", F.col("key")) - 1)
     joined = keyed.join(F.broadcast(prefix), "key", "left")
     # behind its key, template and block must still hold what is missing besides the words before it
     fits = (F.size("hits") >= F.col("need")) & (F.least(F.col("template_at"), F.col("at")) + F.least(F.size("template_words") - F.col("template_at"), F.size("hits") - F.col("at")) >= F.col("need"))
     overlap = F.size(F.array_intersect("hits", "template_words"))
-    found = F.when(fits & (overlap >= F.col("need")), F.struct("label", (overlap / F.size("template_words")).alias("containment")))
+    reached = F.expr("slice(near, greatest(off - length + 1, 0) + 1, least(off, length - 1) + length)")
+    joined = joined.withColumn("reached", F.when(F.size(F.array_intersect("near", "template_words")) >= F.col("need"), reached))
+    best = F.expr("array_max(transform(sequence(0, greatest(size(reached) - length, 0)), i -> size(array_intersect(slice(reached, i + 1, length), template_words))))")
+    held = F.when(F.col("hits").isNotNull() & fits, overlap).when(F.col("reached").isNotNull(), best)
+    found = F.when(held >= F.col("need"), F.struct("label", (held / F.size("template_words")).alias("containment")))
     return joined.groupBy("doc_id", "text_key", "n_words", "n_base", "first_word", "last_word", "base_set").agg(F.collect_set(found).alias("found")).drop("text_key")
 
 

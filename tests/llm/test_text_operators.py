@@ -150,6 +150,19 @@ def test_license_scan(spark, rows):
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    rng = random.Random(9)
+    notices = {
+        "gpl": "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License",
+        "isc": "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted",
+        "bsd": "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted",
+    }
+    docs = [(i, f"{prose(rng, 40)}\n{prose(rng, 5)} {t} {prose(rng, 30)}\n{prose(rng, 9)}", "en") for i, t in enumerate(notices.values())]
+    docs += [(10, notices["gpl"].split("\n")[0] + f"\n{prose(rng, 60)}\n" + notices["gpl"].split("\n")[1], "en"), (11, "\n".join(notices["bsd"].split()), "en")]
+    got = {r.doc_id: {x.label for x in r.found} for r in license_scan.license_scan(frame(spark, docs)).collect()}
+    assert got == {0: {"gpl"}, 1: {"isc"}, 2: {"bsd"}, 10: set(), 11: {"bsd"}}
+
+
 @pytest.mark.parametrize("most", [100_000, 0])
 def test_decontamination(spark, rows, most):
     texts = {i: t for i, t, _ in rows}
