@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from lattica.llm import decontamination, near_dedup, packing, quality_classifier, substring_dedup
 from lattica.llm.common import table, written
 
+#: A column of the near-duplicate stage alone: the key of a row.
+ROW = "_row"
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours call good; all where no label can be learned from."""
@@ -22,12 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; documents without id stay."""
-    classes = near_dedup.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(classes, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """The row with the smallest id of each class, one without id only where none has one; ids may be null or repeated."""
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
+    named = rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW).alias("place")).join(found, ROW)
+    first = named.groupBy("class_id").agg(F.min("place").alias("place")).select(f"place.{ROW}")
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +44,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaked = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["leaked"]), "left_anti")
+    keys = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]  # a text's windows do not depend on its id
+    named = docs.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("doc_id"), "text")
+    found = decontamination.contamination(named, table(spark, sf_dir, "benchmark"))
+    leaked = found.filter(F.size("spans") > 0).select(F.col("doc_id.k0").alias("leaked0"), F.col("doc_id.k1").alias("leaked1")).distinct()
+    return docs.join(leaked, (keys[0] == F.col("leaked0")) & (keys[1] == F.col("leaked1")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,23 @@ def test_stages(spark, tmp_path):
     assert ids("packing") == ids("decontamination")
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    item = spark.read.parquet(f"{tmp_path}/benchmark.parquet").first().text
+    rng = random.Random(12)
+    base, other, third = prose(rng, 150), prose(rng, 150), prose(rng, 150)
+    leak = f"{prose(rng, 40)} {item} {prose(rng, 40)}"
+    texts = [(None, base), (None, base + " more"), (None, other), (7, third), (7, other + " less"), (7, leak), (None, leak + " too"), (8, base), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert rows(near) == sorted([(8, base), (7, other + " less"), (7, third), (7, leak), (None, None), (None, "")], key=repr)
+    assert near.columns == docs.columns
+    clean = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path))
+    assert rows(clean) == sorted([x for x in texts if item not in (x[1] or "")], key=repr)
+    assert clean.columns == docs.columns
+
+
 def test_empty_input(spark, tmp_path):
     corpus(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
