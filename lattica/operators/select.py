@@ -113,13 +113,13 @@ class Flow:
 
 
 def bounded_selection(candidates: DataFrame, lower: dict[int, int], upper: dict[int, int], total: int, capacity: int, seed: int, most: int = 200_000) -> DataFrame:
-    """The candidates (taxon, observer, observation) of least stable-key cost with lower to upper groups a taxon, `total` in all, at most `capacity` an observer. Taxa and observers make a network, so the flow's optimum is the programme's; raises if there is none."""
+    """The candidates (taxon, observer, observation) of least stable-key cost with lower to upper groups a taxon, `total` in all, at most `capacity` an observer. Taxa and observers make a network, so the flow's optimum is the programme's; raises if there is none. Of a taxon and observer no more than `capacity` are chosen, so only that many of least cost are collected, and `most` bounds those."""
     spark = candidates.sparkSession
     cost = F.conv(F.substring(stable_hex(F.lit(seed), F.col("observation")), 1, 8), 16, 10).cast("long")
-    n = candidates.count()
-    if n > most:
-        raise ValueError(f"{n} candidates; an exact flow is meant for up to {most}")
-    rows = sorted(tuple(r) for r in candidates.select("taxon", "observer", "observation", cost).collect())
+    priced = candidates.select("taxon", "observer", "observation", cost.alias("cost"))
+    rows = sorted(tuple(r) for r in top_per_group(priced, ["taxon", "observer"], ["cost", "observation"], capacity).limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"more than {most} candidates that can be chosen; an exact flow is meant for up to {most}")
     taxa, observers = sorted(upper), sorted({r[1] for r in rows})
     at = {("t", t): 2 + i for i, t in enumerate(taxa)} | {("o", o): 2 + len(taxa) + i for i, o in enumerate(observers)}
     must = -(1 << 44)  # a taxon's first `lower` groups come before any saving

@@ -304,6 +304,24 @@ def test_flow_matches_brute_force(spark):
         select.balanced_selection(df, {0: 50, 1: 1, 2: 1}, 1, 9)
 
 
+def test_flow_reduces_before_it_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(t), int(o), 1000 + i) for i, (t, o) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 6, 400), strict=True))]
+    import hashlib
+
+    cost = lambda g: int(hashlib.sha256(f"9|{g}".encode()).hexdigest()[:8], 16)
+    least = {}
+    for t, o, g in rows:
+        least[t, o] = min(least.get((t, o), 1 << 40), cost(g))
+    # one group an observer, and the wanted number of groups a taxon
+    best = min(sum(least[t, o] for o, t in enumerate(p)) for p in itertools.product(range(3), repeat=6) if all(p.count(t) == 2 for t in range(3)))
+    df = spark.createDataFrame(rows, "taxon long, observer long, observation long")
+    got = select.bounded_selection(df, dict.fromkeys(range(3), 2), dict.fromkeys(range(3), 2), 6, 1, 9, most=18).collect()
+    assert sum(cost(r.observation) for r in got) == best and len(got) == 6
+    with pytest.raises(ValueError):
+        select.bounded_selection(df, dict.fromkeys(range(3), 2), dict.fromkeys(range(3), 2), 6, 1, 9, most=17)
+
+
 def test_observer_split(spark):
     df = spark.createDataFrame([(o, t) for o in range(30) for t in range(3)], "observer long, taxon long")
     got = select.observer_split(df, {"train": 0.6, "validation": 0.2, "test": 0.2}, 1).groupBy("split").count().collect()
