@@ -8,6 +8,12 @@ ranks lowest and hashes them in text order, so that it is sensitive to order as
 similarity is. Sixteen entries are sixteen buckets; at similarity 0.8 two texts share
 one with probability above 0.9999.
 
+That holds for similarity of labelled shingles. Links are judged on distinct ones, so texts
+that differ in how often they repeat can be linked by the rule and yet share no bucket: with
+J the labelled similarity, the probability of one is 1 - (1 - J^3)^16, 0.88 for a long text
+and the same text twice over, 0.45 for three times. Such links can be missed;
+so can those of texts whose repeats stand in front and shift the rest beyond the band.
+
 Two texts are linked if the distinct shingles that a banded alignment puts side by side
 are at least 0.8 of the distinct shingles of both. The alignment is exact: labelled
 shingles are unique within a text, so the longest common subsequence within the band is
