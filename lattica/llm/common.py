@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,23 +25,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch brings to a Python worker, for the rest of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Bounds what one Arrow batch brings to a Python worker, for the rest of the session, as Spark reads these settings when a plan runs. Smaller ones of the caller stay."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if rows <= 0 or rows > int(ARROW_ROWS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """A new folder under spark.checkpoint.dir; where that is unset, under the warehouse, with a warning, as that is a local folder by default."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        warnings.warn("spark.checkpoint.dir is unset: intermediate tables go to the warehouse, which executors must share", stacklevel=3)
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of Hadoop's for a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, reread: cuts the lineage and outlives executors."""
+    """df as a table in the shared folder, reread: cuts the lineage and outlives executors. The table goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    leave_no_folder(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def leave_no_folder(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver's JVM ends."""
+    store, place = hadoop_path(spark, path)
+    store.deleteOnExit(place)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave and nothing will read again; others are left alone."""
+    for t in tables:
+        if getattr(t, "_written", None):
+            store, place = hadoop_path(t.sparkSession, t._written)
+            store.delete(place, True)
 
 
 def id_remainder(doc_id: Column, modulus: int) -> Column:

@@ -30,9 +30,10 @@ together, or if both share enough with the hub itself, which needs a partner sho
 the hub. Both are exact, so no candidate link between different texts is lost.
 Classes are connected components by label propagation on tables in the shared folder.
 
-Null and blank texts are a class each; a null doc_id has a null class;
-of several texts under one doc_id the one with the smallest key stands for all; extra
-columns are ignored.
+Every row is judged by its own text, whatever its doc_id, which may be null or repeated:
+rows get a key of their own before anything else. Null and blank texts are a class each.
+A class is named by the smallest doc_id in it, so class_id is null only where no row of
+the class has an id. Extra columns are kept by classed_rows() and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_arrow, table, worker_cache, written
+from .common import as_bytes, discard, map_arrow, table, worker_cache, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -154,9 +155,9 @@ def aligned(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, simila
     return len(np.unique(a[i])) / max(1, len(da) + len(db) - both)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2 (the text's key), n (shingles; 0 if blank), keys (buckets)."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")).filter("doc_id IS NOT NULL")
+def sketches(rows: DataFrame) -> DataFrame:
+    """row, k1, k2 (the text's key), n (shingles; 0 if blank), keys (buckets). rows: row, text."""
+    keyed = rows.select("row", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         hasher = work_state()
@@ -165,9 +166,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             h = shingles(t, hasher)
             n.append(len(np.unique(h)))
             keys.append(sketch(labelled(h)).view(np.int64) if len(h) else [])
-        yield {"doc_id": batch.column(0), "k1": batch.column(2), "k2": batch.column(3), "n": n, "keys": pa.array(keys, pa.list_(pa.int64()))}
+        yield {"row": batch.column(0), "k1": batch.column(2), "k2": batch.column(3), "n": n, "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    return map_arrow(rows, work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n long, keys array<long>", CACHE)
+    return map_arrow(keyed, work, "row long, k1 long, k2 long, n long, keys array<long>", CACHE)
 
 
 def work_state() -> Hasher:
@@ -243,9 +244,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         nearer = labels.join(heard, "node").select("node", F.col("class").alias("was"), F.least("class", "heard").alias("class"))
         jump = labels.select(F.col("node").alias("class"), F.col("class").alias("root"))
         new = written(nearer.join(jump, "class").select("node", "was", F.least("class", "root").alias("class")), "labels")
+        discard(labels)
         if new.filter(F.col("was") != F.col("class")).limit(1).count() == 0:
+            discard(both)
             return new.select("node", "class")
-        labels = new.select("node", "class")
+        labels = new
     raise RuntimeError("the components did not settle")
 
 
@@ -281,22 +284,33 @@ def link(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) ->
     return links.union(compared(rest, texts, similarity).filter("linked").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), a row for each input row."""
-    docs = docs.select("doc_id", "text")
-    found = written(sketches(docs), "sketches")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # one id, several rows: one text stands for it
-        found = found.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n", "keys")).alias("r")).select("doc_id", "r.*")
+def row_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row, class (the smallest row of its class) of every row that shares its class with another; the others are classes of their own. rows: row (unique), text, in a written table."""
+    found = written(sketches(rows), "sketches")
     spoken = found.filter("n > 0")
-    by_text = written(spoken.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "by_text")  # for the same reason
-    nodes = written(spoken.withColumnRenamed("doc_id", "node").join(by_text, ["k1", "k2", "node"]), "nodes")
-    shared = buckets(nodes).select("node", "k1", "k2").distinct()
-    named = docs.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
-    texts = written(named.join(shared, ["node", "k1", "k2"]).select("node", "text"), "texts")
+    # copies are one node; a table of its own, so that the joins deal both sides and a hot text can be split
+    by_text = written(spoken.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.count("*").alias("copies")), "by_text")
+    nodes = written(spoken.withColumnRenamed("row", "node").join(by_text.select("node"), "node"), "nodes")
+    shared = buckets(nodes).select("node").distinct()
+    texts = written(rows.withColumnRenamed("row", "node").join(shared, "node").select("node", "text"), "texts")
     classes = components(link(nodes.select("node", "n", "keys"), texts, similarity))
-    copies = found.join(by_text, ["k1", "k2"], "left").select("doc_id", F.coalesce(F.when(F.col("n") > 0, F.col("node")), F.col("doc_id")).alias("node"))
-    ids = copies.join(classes, "node", "left").select("doc_id", F.coalesce("class", "node").alias("class_id"))
-    return docs.select("doc_id").join(ids, "doc_id", "left")
+    # only texts that have a copy or a link name a class for other rows
+    named = by_text.join(classes, "node", "left").filter("copies > 1 OR class IS NOT NULL").select("k1", "k2", F.coalesce("class", "node").alias("class"))
+    return spoken.select("row", "k1", "k2").join(written(named, "named"), ["k1", "k2"]).select("row", "class")
+
+
+def classed_rows(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(row, doc: the columns of docs; a written table; and row_classes of it)."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    return rows, written(row_classes(rows.select("row", "doc.text"), similarity), "classes")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), a row for each input row."""
+    rows, classes = classed_rows(docs.select("doc_id", "text"), similarity)
+    ids = rows.select("row", "doc.doc_id").join(classes, "row", "left")
+    least = written(ids.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id")), "class_ids")
+    return ids.join(least, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
