@@ -16,6 +16,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAKS), "")
 
 
+def text_keys() -> list[Column]:
+    """k1, k2: two 64-bit hashes of a whole text, by which texts are told apart."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+
+
 def known_set(words: list[str]) -> str:
     """A SQL list of words; they hold no quote or backslash, which part words."""
     return ", ".join(f"'{w}'" for w in words) or "NULL"
