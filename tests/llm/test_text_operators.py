@@ -67,8 +67,35 @@ def test_cascade_orders_by_rejections_per_cost():
     assert [r.name for r in order] == ["b", "a", "c"]
 
 
+def near_classes(docs):
+    """A class for each row of (doc_id, text), by all pairs: the smallest id in it, if any."""
+    cut = []
+    for _, t in docs:
+        w = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", (t or "").lower()).split() or (t or "").split()
+        cut.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None)
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
+            if cut[a] and cut[b]:
+                both = len(cut[a] & cut[b])
+                if both and both >= 0.8 * (len(cut[a]) + len(cut[b]) - both) - 1e-9:
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+    ids = defaultdict(list)
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            ids[find(k)].append(i)
+    return [min(ids[find(k)], default=None) for k in range(len(docs))]
+
+
 def test_near_duplicates_match_exact_similarity(spark, rows):
-    docs = [(i, t) for i, t, _ in rows if i is not None]
+    docs = [(i, t) for i, t, _ in rows]
     rng = random.Random(8)
     for k in range(12):  # a centre and texts some words away
         ws = prose(rng, 150).split()
@@ -78,31 +105,12 @@ def test_near_duplicates_match_exact_similarity(spark, rows):
             for at in rng.sample(range(150), j):
                 v[at] = prose(rng, 1) + "q"
             docs.append((100 + 20 * k + j, " ".join(v)))
-    got = {}
-    for i, c in near_dedup.near_duplicates(frame(spark, [(i, t, "en") for i, t in docs])).collect():
-        got[i] = c
-    one = {}
-    for i, t in docs:
-        one.setdefault(i, t)
-    cut = {}
-    for i, t in one.items():
-        w = re.sub(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", (t or "").lower()).split() or (t or "").split()
-        cut[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
-    parent = {i: i for i in one}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(i for i in one if cut[i])
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            both = len(cut[a] & cut[b])
-            if both and both >= 0.8 * (len(cut[a]) + len(cut[b]) - both) - 1e-9:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    assert got == {i: find(i) for i in one}
+    # rows without an id and with one id: copies across both, and different texts
+    a, b, c = prose(rng, 100), prose(rng, 100), prose(rng, 100)
+    docs += [(None, a), (None, a), (900, a), (None, b), (None, b + " more"), (901, b), (901, c), (901, prose(rng, 90)), (None, prose(rng, 90)), (902, c + " x")]
+    got = near_dedup.near_duplicates(frame(spark, [(i, t, "en") for i, t in docs])).collect()
+    want = [(i, c) for (i, _), c in zip(docs, near_classes(docs), strict=True)]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.near_duplicates(frame(spark, [(None, "a b c", "en"), (1, None, "en")])).count() == 2
 
@@ -136,57 +144,97 @@ def test_substring_dedup(spark, rows, most):
 
 
 def test_license_scan(spark, rows):
-    got = {(r.doc_id, r.n_words): r for r in license_scan.license_scan(frame(spark, rows)).collect()}
-    for i, t, _ in rows:
+    docs = [*rows, rows[-1], (None, rows[-1][1], "en")]
+    got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, sorted({x.label for x in r.found})) for r in license_scan.license_scan(frame(spark, docs)).collect()]
+    want = []
+    for i, t, _ in docs:
         ws = words_of(t)
-        r = got[i, len(ws)]
         places = [k for p, _ in license_scan.PHRASES for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
-        assert (r.n_base, r.first_word, r.last_word) == (len(places), min(places, default=None), max(places, default=None))
-        want = set()
-        for line in (t or "").split("\n"):
-            held = set(words_of(line))
-            want |= {label for text, label in license_scan.TEMPLATES if len(held & set(text.split())) >= license_scan.needed(len(set(text.split())))}
-        assert {x.label for x in r.found} == want
+        labels = set()
+        for text, label, must, without in license_scan.TEMPLATES:
+            run, ts = license_scan.run_length(text), set(text.split())
+            for k in range(max(1, len(ws) - run + 1)):
+                held = set(ws[k : k + run])
+                if set(must.split()) <= held and not held & set(without.split()) and len(held & ts) >= license_scan.needed(len(ts)):
+                    labels.add(label)
+        want.append((i, len(ws), len(places), min(places, default=None), max(places, default=None), sorted(labels)))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
 
-def test_license_scan_finds_wrapped_notices(spark):
+#: Notices as their licences word them, wrapped and marked as in source files.
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation",
+    "lgpl": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation",
+    "agpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted",
+    "": "Permission to use, copy, modify, and distribute this software and its\ndocumentation for any purpose and without fee is hereby granted",
+    "bsd": "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software")',
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation",
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance',
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0.",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2 only.",
+    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "cc-by-nc": "Licensed under CC BY-NC 4.0.",
+    "cc-by-sa": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nc-sa": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by": "Licensed under CC BY 4.0.",
+}
+
+
+def test_license_scan_tells_neighbours_apart(spark):
     rng = random.Random(9)
-    notices = {
-        "gpl": "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License",
-        "isc": "Permission to use, copy, modify, and/or distribute this software\nfor any purpose with or without fee is hereby granted",
-        "bsd": "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted",
-    }
-    docs = [(i, f"{prose(rng, 40)}\n{prose(rng, 5)} {t} {prose(rng, 30)}\n{prose(rng, 9)}", "en") for i, t in enumerate(notices.values())]
-    docs += [(10, notices["gpl"].split("\n")[0] + f"\n{prose(rng, 60)}\n" + notices["gpl"].split("\n")[1], "en"), (11, "\n".join(notices["bsd"].split()), "en")]
+    docs = [(i, f"{prose(rng, 40)}\n{prose(rng, 5)}\n{t}\n{prose(rng, 30)}\n{prose(rng, 9)}", "en") for i, t in enumerate(NOTICES.values())]
+    wants = {i: {label} - {""} for i, label in enumerate(NOTICES)}
+    others = ["Released under the Apache license, see the file", "This work is licensed under the GNU General Public License.", NOTICES["gpl"].split("\n")[0] + f"\n{prose(rng, 60)}\n" + NOTICES["gpl"].split("\n")[1], " ".join(f"{w} {prose(rng, 3)}" for w in NOTICES["bsd"].split())]
+    docs += [(100 + i, t, "en") for i, t in enumerate(others)] + [(200, "\n".join(NOTICES["bsd"].split()), "en")]
     got = {r.doc_id: {x.label for x in r.found} for r in license_scan.license_scan(frame(spark, docs)).collect()}
-    assert got == {0: {"gpl"}, 1: {"isc"}, 2: {"bsd"}, 10: set(), 11: {"bsd"}}
+    assert got == wants | {100 + i: set() for i in range(len(others))} | {200: {"bsd"}}
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
-def test_decontamination(spark, rows, most):
+def test_decontamination(spark, rows):
     texts = {i: t for i, t, _ in rows}
+    rng = random.Random(6)
     items = [(1, " ".join((texts[71]).split()[100:130])), (2, "zzz never seen " * 5), (3, texts[0]), (3, texts[0]), (4, None), (5, " "), (None, texts[5]), (6, " ".join(texts[40].split()[10:16]))]
+    items += [(7, " ".join(texts[41].split()[3:5])), (8, texts[42].split()[1]), (9, " ".join(texts[40].split()[8:40]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontamination.contamination(frame(spark, rows), bench, most_windows=most)
-    got = {(r.doc_id, r.n_words): (r.n_hit, r.items) for r in found.select("*", decontamination.covered(F.col("spans")).alias("n_hit")).collect()}
+    docs = [*rows, (None, texts[71]), (901, texts[40]), (901, texts[40]), (902, " ".join(texts[40].split()[9:30]) + prose(rng, 20))]
+    docs = [(r[0], r[1], "en") for r in docs]
+    found = decontamination.contamination(frame(spark, docs), bench)
+    got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.select("*", decontamination.covered(F.col("spans")).alias("n_hit")).collect()]
     windows = set()
     for i, t in items:
         ws = words_of(t)
         if i is not None and ws:
             windows |= {(str(i), tuple(ws[k : k + 10])) for k in range(max(1, len(ws) - 9))}
-    for i, t, _ in rows:
+    want = []
+    for i, t, _ in docs:
         ws, hit, ids = words_of(t), set(), set()
         for item, w in windows:
             for k in range(len(ws) - len(w) + 1):
                 if tuple(ws[k : k + len(w)]) == w:
                     hit |= set(range(k, k + len(w)))
                     ids.add(item)
-        assert got[i, len(ws)] == (len(hit), sorted(ids))
-    assert decontamination.contamination(frame(spark, rows), bench.limit(0)).filter("size(spans) > 0").count() == 0
+        want.append((i, len(ws), len(hit), tuple(sorted(ids))))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert decontamination.contamination(frame(spark, docs), bench.limit(0)).filter("size(spans) > 0").count() == 0
     assert decontamination.contamination(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_many_windows(spark):
+    """More windows than the bitmap has bits for at its least size, by the same plan."""
+    rng = random.Random(7)
+    vocabulary = [prose(rng, 1) + str(k) for k in range(3000)]
+    items = [" ".join(rng.choices(vocabulary, k=1000)) for _ in range(120)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert decontamination.item_windows(bench).count() > 100_000
+    docs = [(k, f"{prose(rng, 30)} {' '.join(items[k].split()[50 * k : 50 * k + 12])} {prose(rng, 30)}", "en") for k in range(15)] + [(100 + k, " ".join(rng.choices(vocabulary, k=200)), "en") for k in range(10)]
+    found = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.contamination(frame(spark, docs), bench).select("*", decontamination.covered(F.col("spans")).alias("n_hit")).collect()}
+    assert found == {k: (12, [str(k)]) for k in range(15)} | {100 + k: (0, []) for k in range(10)}
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
