@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import decontamination, near_dedup, packing, quality_classifier, substring_dedup
 from lattica.llm.common import table, written
-
-#: A column of the near-duplicate stage alone: the key of a row.
-ROW = "_row"
-
+from lattica.llm.words import text_keys
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled neighbours call good; all where no label can be learned from."""
@@ -26,11 +23,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each class, one without id only where none has one; ids may be null or repeated."""
-    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    found = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
-    named = rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW).alias("place")).join(found, ROW)
-    first = named.groupBy("class_id").agg(F.min("place").alias("place")).select(f"place.{ROW}")
-    return rows.join(first, ROW, "left_semi").select(*docs.columns)
+    rows, found = near_dedup.classed_rows(docs)
+    place = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", F.xxhash64("doc.text"), "row")
+    first = rows.join(found, "row").groupBy("class").agg(F.min(place).alias("place")).select("place.row")
+    gone = written(found.select("row").join(first, "row", "left_anti"), "gone")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +41,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    keys = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]  # a text's windows do not depend on its id
-    named = docs.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("doc_id"), "text")
-    found = decontamination.contamination(named, table(spark, sf_dir, "benchmark"))
-    leaked = found.filter(F.size("spans") > 0).select(F.col("doc_id.k0").alias("leaked0"), F.col("doc_id.k1").alias("leaked1")).distinct()
-    return docs.join(leaked, (keys[0] == F.col("leaked0")) & (keys[1] == F.col("leaked1")), "left_anti")
+    leaked = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    k1, k2 = text_keys()  # a text's windows do not depend on its id
+    return docs.join(leaked.select(F.col("k1").alias("leaked1"), F.col("k2").alias("leaked2")), (k1 == F.col("leaked1")) & (k2 == F.col("leaked2")), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
