@@ -1,7 +1,8 @@
 """Language identification by hierarchical discrimination.
 
-fit(): of each language at most per_language rows (a documented bound, taken by hash
-of the id) train the model. Whole texts become L2-normed damped counts of hashed byte
+fit(): of each language at most per_language distinct texts (a documented bound, taken by
+hash of the text, so that rows without an id or with one id count like any others) train
+the model. Whole texts become L2-normed damped counts of hashed byte
 n-grams of their lower-cased letters. Linear support vector machines (squared hinge,
 L2) first tell language families apart, one against the rest; then, within a family,
 one machine for each pair of languages votes.
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, gram_counts, id_remainder, map_arrow, table
@@ -120,16 +121,19 @@ def train(x: np.ndarray, langs: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, per_language: int = 600) -> Model | None:
-    """docs: doc_id, text, lang; the driver gets a row a language, and at most per_language feature vectors of each."""
-    known = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("draw")), F.lit(1 << 40))
-    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """docs: text, lang; the driver gets a row a language, and at most per_language feature vectors of each."""
+    draw = F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 40))
+    known = docs.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("draw", draw)
+    counts = {r.lang: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not counts:
         return None
     limit = F.lit(0)
     for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.5 * per_language / n) * (1 << 40)))).otherwise(limit)
-    rows = known.filter(draw <= limit).withColumn("draw", draw)
+        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2.0 * per_language / n) * (1 << 40)))).otherwise(limit)
+    # copies once, and then no more of a language than asked for, before anything is collected
+    drawn = known.filter(F.col("draw") <= limit).dropDuplicates(["lang", "draw"])
+    place = Window.partitionBy("lang").orderBy("draw")
+    rows = drawn.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_language)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch.column(0).to_pylist()

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, map_arrow, table, worker_cache, written
 
 CAPACITY = 2048
+#: Documents a sequence, so that a mask of their borders has a bounded size.
+MAX_DOCS = 64
 END_ID = 0
 #: Pieces a group: bounds a packing task's memory and time.
 GROUP_PIECES = 16_000
@@ -197,19 +199,23 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int | None
     return bins, offset
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """parts with sequence_id and offset. parts is written to the shared folder first, so texts are tokenised once."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int | None = None, rule: str = "norm", group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """parts with sequence_id, offset and what the sequence leaves of each capacity: tokens_left, documents_left, cost_left. parts is written to the shared folder first, so texts are tokenised once."""
+    full = (capacity, max_docs, max_cost or capacity * capacity)
     kept = written(parts, "pieces")
     groups = max(1, -(-kept.count() // group_pieces))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "ids_crc32", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offset = best_fit(frame["length"].to_numpy(np.int64), capacity, max_docs, max_cost, rule=rule)
-        return frame.drop(columns="pack_group").assign(sequence_id=bins * groups + int(key[0]), offset=offset)
+        lengths = frame["length"].to_numpy(np.int64)
+        bins, offset = best_fit(lengths, capacity, max_docs, max_cost, rule=rule)
+        used = [np.bincount(bins, x) for x in (lengths, np.ones(len(lengths)), lengths.astype(float) ** 2)]
+        left = {name: (c - u[bins]).astype(np.int64) for name, c, u in zip(("tokens_left", "documents_left", "cost_left"), full, used, strict=True)}
+        return frame.drop(columns="pack_group").assign(sequence_id=bins * groups + int(key[0]), offset=offset, **left)
 
     dealt = kept.withColumn("pack_group", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    return dealt.groupBy("pack_group").applyInPandas(run, f"{fields}, sequence_id long, offset long, tokens_left long, documents_left long, cost_left long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ matrix products (exact cosines); the k largest vote with weight cosine ** power.
 Null and empty texts have a zero vector and get the labelled rows' mean label, as does
 any text without a positive cosine. Without labelled rows the score is 0.5 and
 `fitted` false. A row in, a row out; ties between neighbours go to the earlier one in
-id order; labels that contradict each other count as the lower one.
+the order of ids as text; labels that contradict each other count as the lower one.
 """
 
 from __future__ import annotations
@@ -61,6 +61,16 @@ def features(texts: list[bytes]) -> np.ndarray:
     return np.hstack([np.log1p(counts), shape_terms(texts, counts)])
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values of each row; where equal ones stand on both sides of the cut, the earlier places."""
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    held = np.take_along_axis(near, top, 1)
+    least = held.min(1, keepdims=True)
+    for i in np.flatnonzero((near == least).sum(1) > (held == least).sum(1)):
+        top[i] = np.argsort(-near[i], kind="stable")[:k]
+    return top
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -78,7 +88,7 @@ class Model:
         prior = float(self.labels.mean())
         near = self.project(features(texts)) @ self.vectors.T
         k = min(self.k, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        top = nearest(near, k)
         weight = np.maximum(np.take_along_axis(near, top, 1), 0) ** self.power
         voted = (weight * self.labels[top]).sum(1)
         total = weight.sum(1)

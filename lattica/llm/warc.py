@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-write_archive(): records are dealt to shards by ranges of their id. The ranges come
-from a sample of ids chosen by hash (at most a few thousand ids reach the driver), so
-the same rows always give the same shards. A task sorts its shards by id, regenerates
+write_archive(): records are dealt to shards by ranges of their id and, for rows that share
+an id or have none, of their payload's digest. The ranges come from rows chosen by hash
+(some a shard, at most a million in all), so the same rows always give the same shards and
+a shard is a partition. A task sorts its shards by id, regenerates
 headers and digests, compresses each record as a gzip member without a time stamp and
 starts a new file whenever one reaches roll_bytes compressed. Files get temporary names
 with the attempt's own random part; the driver renames those that successful tasks
@@ -25,6 +26,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,9 @@ from .common import map_arrow, shared_dir, small_batches, table
 LEAST_SHARED = 100
 ROLL_BYTES = 8 << 20
 SHARD_ROWS = 4000
-SPLIT_SAMPLE = 4000
+#: Sampled rows a shard, and the most shards: at most a million ids reach the driver.
+SHARD_SAMPLE = 20
+MOST_SHARDS = 50_000
 DATE = "2000-01-01T00:00:00Z"
 MANIFEST = "shard int, seq int, temp string, file string, records long, bytes long, first_id string, last_id string, sha256 string"
 
@@ -117,42 +121,56 @@ def revisits(pages: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
     return ids.join(shared, "digest").filter(again).select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
 
 
-def id_ranges(pages: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
-    """Sorted lower ends of the shards after the first, from ids that a hash chooses."""
-    ids = pages.select("page_id").filter("page_id IS NOT NULL")
-    n = ids.count()
-    every = max(1, n // SPLIT_SAMPLE)
-    chosen = sorted(r[0] for r in ids.filter(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).distinct().collect())
-    shards = max(1, -(-n // shard_rows))
+def ranges(pages: DataFrame, shard_rows: int = SHARD_ROWS) -> list[tuple]:
+    """Sorted lower ends (id is null, id, digest) of the shards after the first, from rows that a hash chooses: some a shard, so that shards stay alike at any size."""
+    n = pages.count()
+    shards = min(MOST_SHARDS, max(1, -(-n // shard_rows)))
+    if shards == 1:
+        return []
+    every = max(1, n // (shards * SHARD_SAMPLE))
+    drawn = pages.filter(F.pmod(F.xxhash64("page_id", "html"), F.lit(every)) == 0)
+    found = drawn.select("page_id", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256).alias("digest")).collect()
+    chosen = sorted((r.page_id is None, 0 if r.page_id is None else r.page_id, r.digest) for r in found)
     return sorted({chosen[len(chosen) * k // shards] for k in range(1, shards)}) if chosen else []
 
 
+def place(splits: list[tuple], ids: pd.Series, digests: pd.Series) -> np.ndarray:
+    """How many lower ends are not above each (id, digest); only ids that are an end themselves need their digest."""
+    first_null = bisect_left(splits, (True,))
+    ends = np.array([x[1] for x in splits[:first_null]])
+    out, there = np.full(len(ids), first_null, np.int32), ids.notna().to_numpy()
+    if there.any() and len(ends):
+        values = ids[there].to_numpy()
+        low, high = np.searchsorted(ends, values, side="left"), np.searchsorted(ends, values, side="right")
+        out[there] = high
+        exact = np.flatnonzero(there)[low < high]
+    else:
+        out[there] = 0
+        exact = np.zeros(0, int)
+    for i in [*exact.tolist(), *np.flatnonzero(~there).tolist()]:
+        out[i] = bisect_right(splits, (False, ids.iloc[i], digests.iloc[i]) if there[i] else (True, 0, digests.iloc[i]))
+    return out
+
+
 def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Writes the archive and returns its manifest: a row a file."""
     spark = pages.sparkSession
     small_batches(spark)
-    splits = id_ranges(pages, shard_rows)
+    splits = ranges(pages, shard_rows)
     held = spark.sparkContext.broadcast(splits)
 
     @F.pandas_udf("int")
-    def shard_of(ids):
-        out = np.zeros(len(ids), np.int32)
-        there = ids.notna().to_numpy()
-        if held.value:
-            out[there] = np.searchsorted(np.array(held.value), ids[there].to_numpy(), side="right")
-        return pd.Series(out)
-
-    if not splits:
-        shard = F.lit(0)
-    else:
-        shard = shard_of("page_id")
+    def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series(place(held.value, ids, digests))
+
+    shard = shard_of("page_id", "digest") if splits else F.lit(0)
     base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     records = base.select("page_id", F.sha2("payload", 256).alias("digest"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast(pages.schema["page_id"].dataType).alias("refers_to"))
     # what a record refers to stands before it in the sort, so payloads are exchanged once
     marks = revisits(pages).select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     dealt = records.unionAll(marks).withColumn("shard", shard)
     order = ["shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url"]
-    placed = dealt.repartitionByRange(len(splits) + 1, "shard").sortWithinPartitions(*order)
+    placed = dealt.repartitionById(len(splits) + 1, "shard").sortWithinPartitions(*order)
     temp = f"{folder.rstrip('/')}/_temporary"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

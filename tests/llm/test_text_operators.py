@@ -58,9 +58,23 @@ def test_quality_rules(spark, rows):
         want.append((i, len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(inside), len(ws) < 10 or 100 * len(inside) > 20 * len(ws)))
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:7]) for r in got)
     assert not any(r.kept and r.base_failed for r in got)
+    # the cascade's verdict is that of all rules, whatever their order
+    every = {repr((i, t)): not any(r.rejects(quality_rules.Text((t or "").encode())) for r in quality_rules.RULES) for i, t, _ in rows}
+    asked = quality_rules.quality_cascade(frame(spark, rows)).collect()
+    assert sorted((str(i), every[repr((i, t))]) for i, t, _ in rows) == sorted((str(r.doc_id), r.kept) for r in asked) == sorted((str(r.doc_id), r.kept) for r in got)
+    assert all((r.rejected_by is None) == r.kept and 1 <= r.asked <= len(quality_rules.RULES) for r in asked)
+    assert any(r.asked < len(quality_rules.RULES) for r in asked) and all(r.asked == len(quality_rules.RULES) for r in asked if r.kept)
     assert quality_rules.measured_cascade(frame(spark, [])).count() == 0
 
 
+def test_rejected_texts_pay_for_no_later_measure():
+    text = quality_rules.Text(b"a b")
+    assert quality_rules.judged(text, (quality_rules.RULES[0], *quality_rules.RULES[1:])) == ("short", 1)
+    assert "pair_chars" not in vars(text) and "n_repeat_words" not in vars(text)
+    pair = quality_rules.Text(b"one two three one two four one two five one two six")
+    assert pair.pair_chars == 24 and quality_rules.Text(b"").pair_chars == 0
+
+
 def test_cascade_orders_by_rejections_per_cost():
     rules = tuple(quality_rules.Rule(n, None) for n in "abc")
     order = quality_rules.ordered(rules, [("a", 1.0, 0.1), ("b", 0.1, 0.1), ("c", 0.01, 0.0)])
@@ -245,7 +259,7 @@ def test_packing(spark, rows):
     marks = "aBé'1٣.,!?-_#$% \n\t<|>ßİǺ…—日ñ’\"\\x"
     tricky += [(100 + i, "".join(rng.choices(marks, k=rng.randint(1, 60))), "en") for i in range(300)]
     rows = rows + tricky
-    got = packing.pack(packing.pieces(frame(spark, rows), path), group_pieces=30).collect()
+    got = packing.pack(packing.pieces(frame(spark, rows), path), group_pieces=30, max_docs=9).collect()
     want = []
     for i, t, _ in rows:
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
@@ -260,7 +274,10 @@ def test_packing(spark, rows):
         for o, n in sorted(b):
             assert o == at
             at += n
-        assert at <= 2048
+        assert at <= 2048 and len(b) <= 9
+    for r in got:
+        own = bins[r.sequence_id]
+        assert (r.tokens_left, r.documents_left, r.cost_left) == (2048 - sum(n for _, n in own), 9 - len(own), 2048**2 - sum(n * n for _, n in own))
     assert packing.pack(packing.pieces(frame(spark, []), path)).count() == 0
 
 
@@ -292,6 +309,13 @@ def test_warc_round_trip(spark, tmp_path):
         again = f is not None and f != i
         want.append((None if i is None else str(i), len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", str(f) if again else None, None if again else b))
     assert sorted(map(repr, want)) == sorted(repr((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload))) for r in got)
+    # rows that share an id or have none are dealt by their digest
+    same = [(None if k % 2 else 7, f"u{k}", f"{k:03d} " * 50) for k in range(400)] + [(k, "u", f"page {k}") for k in range(100)]
+    alike = spark.createDataFrame(same, "page_id long, url string, html string")
+    where = str(tmp_path / "d")
+    listed = warc.write_archive(alike, where, shard_rows=20)
+    assert len({r.shard for r in listed.collect()}) > 15
+    assert sorted((str(r.page_id), r.payload_digest) for r in warc.read_archive(listed, where).collect()) == sorted((str(i), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in same)
     again = warc.write_archive(pages.repartition(3), str(tmp_path / "b"), roll_bytes=2000, shard_rows=3)
     assert {r.file: r.sha256 for r in again.collect()} == files
     assert warc.read_archive(warc.write_archive(pages.limit(0), str(tmp_path / "c")), str(tmp_path / "c")).count() == 0
@@ -307,7 +331,37 @@ def test_language_model(spark, rows):
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), held, len(ws), sum(c[x] > 0 for x in ws), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ws), 4)) for ws, held, i in tokens)
     assert want == sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got)
-    assert all(r.score < 0 for r in got)
+    # the mixture, from counts by hand
+    pairs_of = lambda ws: list(zip(["<", *ws[:-1]], ws, strict=True))
+    rest_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10
+
+    def counts(keep):
+        one, two, begin = Counter(), Counter(), 0
+        for ws, _, i in tokens:
+            if keep(rest_of(i)):
+                one.update(ws)
+                two.update(pairs_of(ws))
+                begin += 1
+        return one, two, lambda x: begin if x == "<" else one[x]
+
+    one, two, context = counts(lambda r: r > 1)
+    total, kinds, cells = sum(one.values()), len(one), Counter()
+    for ws, _, i in tokens:
+        if rest_of(i) == 1:
+            for a, b in pairs_of(ws):
+                p = (two[a, b] / max(1, context(a)), one[b] / max(1, total))
+                logs = [round(lm_scoring.STEPS * math.log(x * (kinds + 1))) if x else lm_scoring.NONE * 10**6 for x in p]
+                cells[int(lm_scoring.bucket(np.array([context(a)]))[0]), *logs] += 1
+    weights = lm_scoring.mixture(sorted((*k, n) for k, n in cells.items()))
+    one, two, context = counts(lambda r: r > 0)
+    scores = []
+    for ws, _, i in tokens:
+        score = 0.0
+        for a, b in pairs_of(ws):
+            w = weights[int(lm_scoring.bucket(np.array([context(a)]))[0])]
+            score += math.log10(w[0] * two[a, b] / max(1, context(a)) + w[1] * one[b] / n + w[2] / (v + 1))
+        scores.append((str(i), len(ws), round(score, 3)))
+    assert sorted(scores) == sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in got)
     assert lm_scoring.score_texts(docs.limit(0).select("doc_id", "text", F.lit(False).alias("held_out"), F.lit(False).alias("deleted"))).count() == 0
 
 
@@ -327,12 +381,45 @@ def test_quality_classifier(spark):
     assert len(scored) == 105 and all(0 <= r.score <= 1 for r in scored)
     by = {r.doc_id: r.score for r in scored}
     assert sum(by[i] >= 0.7 for i, _, _ in good[30:]) >= 28 and sum(by[i] < 0.7 for i, _, _ in bad[20:]) >= 19
+    # the vote, neighbour by neighbour
+    model = quality_classifier.fit(docs, labels)
+    texts = [(t or "").encode() for _, t, _ in good + bad]
+    for t, score in zip(texts, model.score(texts), strict=True):
+        vector = model.project(quality_classifier.features([t]))[0]
+        cosines = [float(vector @ other) for other in model.vectors]
+        chosen = sorted(range(len(cosines)), key=lambda j: (-cosines[j], j))[: model.k]
+        votes = [max(0.0, cosines[j]) ** model.power for j in chosen]
+        assert score == pytest.approx(sum(v * model.labels[j] for v, j in zip(votes, chosen, strict=True)) / sum(votes), abs=1e-3)
     assert quality_classifier.fit(docs, labels.limit(0)) is None
     assert {r.score for r in quality_classifier.score_documents(docs, None).collect()} == {0.5}
     assert quality_classifier.good_documents(docs, quality_classifier.fit(docs, labels), 0.7).columns == docs.columns
     assert quality_classifier.score_documents(docs.limit(0), quality_classifier.fit(docs, labels)).count() == 0
 
 
+def test_neighbours_tie_in_order():
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2], [0.1, 0.2, 0.3, 0.4, 0.5]], np.float32)
+    assert [sorted(x) for x in quality_classifier.nearest(near, 2).tolist()] == [[0, 1], [0, 1], [3, 4]]
+
+
+def hashed_grams(data, dims, n):
+    """Counts of byte n-grams by hand."""
+    out = np.zeros(dims)
+    for k in range(len(data) - n + 1):
+        h = 0
+        for b in data[k : k + n]:
+            h = (h * 0x01000193 + b) % 2**32
+        out[h * 0x9E3779B1 % 2**32 >> (32 - dims.bit_length() + 1)] += 1
+    return out
+
+
+def test_language_id_learns_from_rows_without_ids(spark):
+    rng = random.Random(4)
+    rows = [(None, prose(rng, 20) + " the", "en") for _ in range(300)] + [(7, "ß " + prose(rng, 20), "de") for _ in range(300)] + [(None, "le même", "fr")] * 300
+    docs = frame(spark, rows)
+    model = language_id.fit(docs, per_language=5)
+    assert model.members == {"germanic": ["de", "en"], "romance": ["fr"]}
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     parts = {"en": "th er ing the of and wh".split(), "de": "sch ung keit der die und ß".split(), "fr": "eau é ç que les ment oi".split(), "es": "ción ñ los que ll rr ado".split()}
@@ -344,5 +431,18 @@ def test_language_id(spark):
     assert all(got[i][0] == lang for i, _, lang in rows[80:])
     assert [got[i][0] for i in (200, 201, 202, 203, None)] == ["und", "und", "und", "de", "fr"]
     assert all(0 <= s <= 1 for _, s in got.values())
+    # families, then votes of pairs, by hand
+    for i, t, _ in rows[80:100]:
+        data = b" " + b" ".join(t.lower().encode().translate(language_id.FOLD).split()) + b" "
+        x = np.sqrt(np.concatenate([hashed_grams(data, 256, 1), hashed_grams(data, 4096, 2), hashed_grams(data, 4096, 3)]))
+        x = np.append(x / np.linalg.norm(x), 1.0)
+        family = max(sorted(model.members), key=lambda f: x @ model.families[f])
+        votes = Counter(a if x @ w > 0 else b for (a, b), w in model.pairs.items() if language_id.family(a) == family)
+        assert got[i][0] == max(model.members[family], key=lambda lang: votes[lang])
+        pairs = [float(x @ w) * (1 if got[i][0] == a else -1) for (a, b), w in model.pairs.items() if got[i][0] in (a, b)]
+        logistic = lambda m: 1 / (1 + math.exp(-2 * max(-20, min(20, m))))
+        assert got[i][1] == pytest.approx(logistic(x @ model.families[family]) * logistic(min(pairs)), abs=1e-3)
+    empty = language_id.predict_language(frame(spark, []), model)
+    assert empty.count() == 0 and empty.columns == ["doc_id", "lang_pred", "score"]
     assert language_id.fit(frame(spark, [])) is None
     assert {r.lang_pred for r in language_id.predict_language(frame(spark, rows[:4]), None).collect()} == {"und"}
