@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SIZES = ("square", "small", "medium", "large", "original")
+#: The size words of a photo's file name, and extensions of photos.
+SIZES = ("square", "small", "medium", "large")
+EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp")
 
 
 def resized(url: Column, size: str = "large", need_extension: bool = True) -> Column:
-    """The size word of a URL's file name replaced and its query kept; null where the name holds no known size."""
-    tail = r"\.[A-Za-z0-9]+" if need_extension else r"\.?[A-Za-z0-9]*"
-    pattern = rf"/({'|'.join(SIZES)})({tail})(\?[^#]*)?$"
-    return F.when(url.rlike(pattern), F.regexp_replace(url, pattern, f"/{size}$2$3"))
+    """The size word of a URL's file name replaced and its query kept; null where the name is no known size with a dot and, unless need_extension is false, an extension. The unscaled `original` is refused."""
+    tail = r"\.[^./?]+" if need_extension else r"\.[^./?]*"
+    pattern = rf"(^|/)({'|'.join(SIZES)})({tail})(\?.*)?$"
+    return F.when(url.rlike(pattern), F.regexp_replace(url, pattern, f"$1{size}$3$4"))
 
 
 def large_url(url: Column, hosts: tuple[str, ...], size: str = "large") -> Column:
-    """Strict form: https, an allowed host, a known size and extension; the query goes. Null otherwise."""
-    bare = F.regexp_replace(url, r"[?#].*$", "")
-    pattern = rf"/({'|'.join(SIZES)})\.(jpe?g|png|gif)$"
-    ok = url.startswith("https://") & F.try_parse_url(url, F.lit("HOST")).isin(*hosts) & bare.rlike(pattern)
+    """Strict form: https, an allowed host, a known size (or original), a photo's extension in any case or none behind the dot; query and fragment go. Null otherwise."""
+    bare = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^(?i:https)://", "https://")
+    pattern = rf"/({'|'.join(SIZES)}|original)\.((?i:{'|'.join(EXTENSIONS)})?)$"
+    ok = bare.startswith("https://") & F.lower(F.try_parse_url(bare, F.lit("HOST"))).isin(*hosts) & bare.rlike(pattern)
     return F.when(ok, F.regexp_replace(bare, pattern, f"/{size}.$2"))
 
 

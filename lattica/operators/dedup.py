@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,17 +11,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import hamming
+from lattica.operators.numbering import checkpoints
 
 
-def bands(hash_column: Column, bits: int, parts: int) -> Column:
-    """The hash cut into blocks of bits, as structs (band, value): equal blocks are the keys of a join."""
+def bands(hash_column: Column, bits: int, parts: int, together: int) -> Column:
+    """Structs (band, value): the hash is cut into parts blocks, and each choice of `together` of them is a key of a join."""
     edge = [bits * i // parts for i in range(parts + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_column, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))])
+    block = [F.shiftrightunsigned(hash_column, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edge, edge[1:], strict=False)]
 
+    def value(chosen: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, edge[i + 1] - edge[i]).bitwiseOR(block[i])
+        return out
 
-def near_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int = 64, ordered: bool = True) -> DataFrame:
-    """(a, b, distance) with a Hamming distance of at most threshold: two such hashes agree on one of threshold + 1 blocks, so nothing is lost. Frames: id, hash. With ordered only a < b."""
-    cut = lambda f, x: f.select(F.col("id").alias(x), F.col("hash").alias(f"hash_{x}"), F.explode(bands(F.col("hash"), bits, threshold + 1)).alias("block"))
+    return F.array(*[F.struct(F.lit(k).alias("band"), value(c).alias("value")) for k, c in enumerate(combinations(range(parts), together))])
+
+
+def near_pairs(left: DataFrame, right: DataFrame, threshold: int, bits: int = 64, ordered: bool = True, together: int = 2) -> DataFrame:
+    """(a, b, distance) with a Hamming distance of at most threshold. Of threshold + together blocks two such hashes agree on `together`, so nothing is lost, and a key is several blocks long (21 of 64 bits at 4 errors). Frames: id, hash. With ordered only a < b."""
+    parts = threshold + together
+    if parts > bits:
+        raise ValueError("more blocks than bits: use fewer together")
+    cut = lambda f, x: f.select(F.col("id").alias(x), F.col("hash").alias(f"hash_{x}"), F.explode(bands(F.col("hash"), bits, parts, together)).alias("block"))
     on = cut(left, "a").join(cut(right, "b"), "block")
     d = hamming(F.col("hash_a"), F.col("hash_b"))
     close = on.filter(d <= threshold)
@@ -38,9 +51,7 @@ def exact_or_near(new: DataFrame, history: DataFrame, threshold: int, bits: int
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """id, root (smallest id of its component). Minimum labels travel along edges with pointer jumping; each round is checkpointed, so lineage stays short and a lost executor costs one round. Edges: a, b; one with a foreign end raises."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    checkpoints(nodes.sparkSession)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
     ids = nodes.select("id").distinct()
     if both.join(ids, both["a"] == ids["id"], "left_anti").limit(1).count():
@@ -74,65 +85,121 @@ def scenarios(members: DataFrame, roots: DataFrame, group: str, member: str, lea
     return row("collapse", F.col("disposition") == "kept").unionAll(row("exclude", F.col("hit") == 0))
 
 
-def vertex_cover(edges: DataFrame, roots: DataFrame, weights: DataFrame, most_nodes: int = 40) -> DataFrame:
-    """id, chosen: a cover of each component's edges of least weight, exact up to most_nodes vertices by branch and bound, else by the greedy ratio rule (exact false). edges: a, b; weights: id, weight."""
+def vertex_cover(edges: DataFrame, roots: DataFrame, weights: DataFrame, greedy: bool = False, most_steps: int = 200_000) -> DataFrame:
+    """id, chosen, exact: a cover of least weight of each component's edges. Exact by branch and bound on what reductions leave, or an error where that takes more than most_steps; with `greedy` such a component gets the cover of the ratio rule instead, marked by exact false. edges: a, b; weights: id, weight."""
     e = edges.join(roots.select(F.col("id").alias("a"), "root"), "a").join(weights.select(F.col("id").alias("a"), F.col("weight").alias("wa")), "a").join(weights.select(F.col("id").alias("b"), F.col("weight").alias("wb")), "b").select("root", "a", "b", "wa", "wb")
     kind = edges.schema["a"].dataType.simpleString()
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         w = dict(zip(f["a"], f["wa"], strict=True)) | dict(zip(f["b"], f["wb"], strict=True))
         pairs = sorted({(min(a, b), max(a, b)) for a, b in zip(f["a"], f["b"], strict=True)})
-        chosen, exact = cover(pairs, w, most_nodes)
+        chosen, exact = cover(pairs, w, most_steps)
+        if not exact and not greedy:
+            raise ValueError(f"the component of {f['root'].iloc[0]} has no proven cover after {most_steps} steps")
         ids = sorted(w)
         return pd.DataFrame({"root": f["root"].iloc[0], "id": ids, "chosen": [i in chosen for i in ids], "exact": exact})
 
     return e.groupBy("root").applyInPandas(run, f"root {kind}, id {kind}, chosen boolean, exact boolean")
 
 
-def cover(pairs: Sequence[tuple[int, int]], w: dict, most_nodes: int) -> tuple[set, bool]:
-    """Least-weight vertex cover; ties to the set that sorts first among those met."""
-    greedy, left = set(), list(pairs)
-    while left:
-        degree: dict[int, int] = {}
-        for a, b in left:
-            degree[a] = degree.get(a, 0) + 1
-            degree[b] = degree.get(b, 0) + 1
-        best = min(degree, key=lambda x: (w[x] / degree[x], x))
-        greedy.add(best)
-        left = [p for p in left if best not in p]
-    if len(w) > most_nodes:
-        return greedy, False
+def neighbours(pairs: Sequence[tuple[int, int]]) -> dict[int, set]:
     near: dict[int, set] = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    state = {"cost": sum(w[x] for x in greedy), "set": set(greedy)}
-
-    def bound(rest: list) -> float:
+    return near
+
+
+def ratio_cover(near: dict[int, set], w: dict) -> set:
+    """The vertex of least weight an edge, again and again."""
+    near, chosen = {x: set(y) for x, y in near.items()}, set()
+    while any(near.values()):
+        best = min((x for x in near if near[x]), key=lambda x: (w[x] / len(near[x]), x))
+        chosen.add(best)
+        for y in near.pop(best):
+            near[y].discard(best)
+    return chosen
+
+
+def cover(pairs: Sequence[tuple[int, int]], w: dict, most_steps: int = 200_000) -> tuple[set, bool]:
+    """(vertex cover, whether it is proven to be of least weight). What a search leaves over falls apart into components, which are covered one by one; a vertex goes in at once if it is no heavier than all its neighbours of degree one together."""
+    steps = 0
+
+    class Spent(Exception):
+        pass
+
+    def without(near: dict[int, set], gone: set) -> dict[int, set]:
+        return {x: left for x, ys in near.items() if x not in gone and (left := ys - gone)}
+
+    def parts(near: dict[int, set]) -> list[dict[int, set]]:
+        out, seen = [], set()
+        for x in sorted(near):
+            if x not in seen:
+                part, todo = {x}, [x]
+                while todo:
+                    new = near[todo.pop()] - part
+                    part |= new
+                    todo += new
+                seen |= part
+                out.append({y: near[y] for y in part})
+        return out
+
+    def bound(near: dict[int, set]) -> float:
         used, low = set(), 0.0
-        for a, b in rest:
-            if a not in used and b not in used:
-                used |= {a, b}
-                low += min(w[a], w[b])
+        for x in sorted(near):
+            for y in sorted(near[x]):
+                if x not in used and y not in used:
+                    used |= {x, y}
+                    low += min(w[x], w[y])
         return low
 
-    def search(rest: list, taken: set, cost: float) -> None:
-        if cost + bound(rest) >= state["cost"] - 1e-12:
-            return
-        if not rest:
-            state["cost"], state["set"] = cost, set(taken)
-            return
-        degree: dict[int, int] = {}
-        for a, b in rest:
-            degree[a] = degree.get(a, 0) + 1
-            degree[b] = degree.get(b, 0) + 1
-        x = max(degree, key=lambda v: (degree[v], -v))
-        search([p for p in rest if x not in p], taken | {x}, cost + w[x])
-        others = {b if a == x else a for a, b in rest if x in (a, b)}
-        search([p for p in rest if not (set(p) & others) and x not in p], taken | others, cost + sum(w[v] for v in others))
-
-    search(list(pairs), set(), 0.0)
-    return state["set"], True
+    def solve(near: dict[int, set], most: float) -> set | None:
+        """A cover of least weight below `most`, if there is one."""
+        nonlocal steps
+        steps += 1
+        if steps > most_steps:
+            raise Spent
+        taken, cost = set(), 0.0
+        while True:
+            leaves = {x: sum(w[y] for y in ys if len(near[y]) == 1) for x, ys in near.items()}
+            sure = next((x for x in sorted(near) if leaves[x] and leaves[x] >= w[x]), None)
+            if sure is None:
+                break
+            taken.add(sure)
+            cost += w[sure]
+            near = without(near, {sure})
+        if not near:
+            return taken if cost < most else None
+        if cost + bound(near) >= most:
+            return None
+        split = parts(near)
+        if len(split) > 1:
+            for part in split:
+                best = solve(part, most - cost)
+                if best is None:
+                    return None
+                taken |= best
+                cost += sum(w[x] for x in best)
+            return taken if cost < most else None
+        x = max(near, key=lambda v: (len(near[v]), -v))
+        found = None
+        for chosen in ({x}, set(near[x])):
+            own = sum(w[v] for v in chosen)
+            rest = solve(without(near, chosen), most - cost - own) if cost + own < most else None
+            if rest is not None:
+                found = taken | chosen | rest
+                most = cost + own + sum(w[v] for v in rest)
+        return found
+
+    chosen = set()
+    for part in parts(neighbours(pairs)):
+        ratio = ratio_cover(part, w)
+        try:
+            better = solve(part, sum(w[x] for x in ratio) - 1e-12)
+        except Spent:
+            return chosen | ratio_cover({x: ys for x, ys in neighbours(pairs).items() if not {x} & chosen}, w), False
+        chosen |= ratio if better is None else better
+    return chosen, True
 
 
 def difference_hash(pixels: np.ndarray, larger_right: bool = True) -> int:
@@ -175,3 +242,35 @@ def image_proxies(images: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame(out, columns=["focus", "dark", "bright", "energy"])
 
     return images.select(key, measured("pixels", "width", "height").alias("m")).select(key, "m.*")
+
+
+#: The detector's class of the subject, and the score from which a box counts.
+SUBJECT, LEAST_SCORE = 16, 0.5
+
+
+def detector_proxies(images: DataFrame, key: str, subject: int = SUBJECT, least: float = LEAST_SCORE) -> DataFrame:
+    """key, detections, score and area (share of the image) of the best box of the subject, box, background (mean squared gradient of the grey image outside all its boxes). Null where nothing is detected; background also where boxes leave none. images: boxes (corners in pixels of width x height), scores, labels, and `gray`, an image of `rows` rows."""
+
+    @F.pandas_udf("detections int, score double, area double, box array<double>, background double")
+    def measured(boxes: pd.Series, scores: pd.Series, labels: pd.Series, width: pd.Series, height: pd.Series, gray: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for b, s, kind, wide, high, pixels, n in zip(boxes, scores, labels, width, height, gray, rows, strict=True):
+            s, kind = np.asarray(s, float), np.asarray(kind, int)
+            own = np.flatnonzero((kind == subject) & (s >= least)) if len(s) else np.zeros(0, int)
+            if not len(own):
+                out.append((0, None, None, None, None))
+                continue
+            scale, corners = np.array([wide, high, wide, high], float), np.stack([np.asarray(b[i], float) for i in own])
+            best = np.clip(corners[s[own].argmax()], 0, scale)
+            image = np.asarray(pixels, float).reshape(int(n), -1)
+            size = np.array([image.shape[1], image.shape[0]] * 2)
+            free = np.ones(image.shape, bool)
+            for x0, y0, x1, y1 in np.clip(corners * size / scale, 0, size).astype(int):
+                free[y0:y1, x0:x1] = False
+            steps = sum(g**2 for g in np.gradient(image))
+            area = max(0.0, best[2] - best[0]) * max(0.0, best[3] - best[1]) / (wide * high)
+            out.append((len(own), float(s[own].max()), float(area), best.tolist(), float(steps[free].mean()) if free.any() else None))
+        found = pd.DataFrame(out, columns=["detections", "score", "area", "box", "background"])
+        return found.astype({"detections": "int32"})
+
+    return images.select(key, measured("boxes", "scores", "labels", "width", "height", "gray", "rows").alias("m")).select(key, "m.*")

@@ -1,7 +1,8 @@
-"""Resampling inference: influence tables by DataFrame operations, draws in grouped pandas functions.
+"""Resampling inference: influence tables by DataFrame operations, draws as rows of a plan.
 
-What enters a draw is one row a cluster (an observer), already summed, so a draw's task is
-bounded by the number of clusters of its group, not by the table.
+What enters a draw is one number a cluster (an observer), already summed, so a row of draws
+is bounded by the number of clusters of its group, not by the table; blocks of draws are
+dealt over the tasks and their percentiles are aggregates.
 """
 
 from __future__ import annotations
@@ -10,55 +11,87 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Draws that one row of a plan makes.
+DRAW_BLOCK = 64
+
+
+def _label_parts(rows: DataFrame, value: str, label: str, cluster: str, by: Sequence[str]) -> DataFrame:
+    """by, cluster, label, s and n (sum and rows of the cell), label_s and label_n (of its label), labels (of its by): partial sums a cell, no window over a label."""
+    cells = rows.filter(F.col(value).isNotNull()).groupBy(*by, label, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    per_label = cells.groupBy(*by, label).agg(F.sum("s").alias("label_s"), F.sum("n").alias("label_n"))
+    kinds = per_label.groupBy(*by).agg(F.count("*").alias("labels"))
+    known = per_label.join(kinds, list(by)) if by else per_label.crossJoin(F.broadcast(kinds))  # one row
+    return cells.join(known, [*by, label])
+
+
 def influence(rows: DataFrame, value: str, label: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
     """by, cluster, influence: of the label-macro mean, summed a cluster."""
-    in_label = Window.partitionBy(*by, label)
-    labels = rows.groupBy(*by).agg(F.count_distinct(label).alias("labels"))
-    part = (F.col(value) - F.avg(value).over(in_label)) / F.count("*").over(in_label)
-    each = rows.select(*by, cluster, part.alias("part"))
-    summed = each.groupBy(*by, cluster).agg(F.sum("part").alias("part"))
-    joined = summed.join(F.broadcast(labels), list(by)) if by else summed.crossJoin(F.broadcast(labels))
-    return joined.select(*by, cluster, (F.col("part") / F.col("labels")).alias("influence"))
+    part = (F.col("s") - F.col("n") * F.col("label_s") / F.col("label_n")) / F.col("label_n") / F.col("labels")
+    return _label_parts(rows, value, label, cluster, by).groupBy(*by, cluster).agg(F.sum(part).alias("influence"))
 
 
 def contributions(rows: DataFrame, value: str, label: str, cluster: str, by: Sequence[str] = ()) -> DataFrame:
     """by, cluster, contribution: each cluster's share of the label-macro mean; they add up to it. What a sign-flip test flips."""
-    in_label = Window.partitionBy(*by, label)
-    labels = rows.groupBy(*by).agg(F.count_distinct(label).alias("labels"))
-    each = rows.select(*by, cluster, (F.col(value) / F.count("*").over(in_label)).alias("part"))
-    summed = each.groupBy(*by, cluster).agg(F.sum("part").alias("part"))
-    joined = summed.join(F.broadcast(labels), list(by)) if by else summed.crossJoin(F.broadcast(labels))
-    return joined.select(*by, cluster, (F.col("part") / F.col("labels")).alias("contribution"))
+    part = F.col("s") / F.col("label_n") / F.col("labels")
+    return _label_parts(rows, value, label, cluster, by).groupBy(*by, cluster).agg(F.sum(part).alias("contribution"))
 
 
 def macro_mean(rows: DataFrame, value: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by, label).agg(F.avg(value).alias("m")).groupBy(*by).agg(F.avg("m").alias("estimate"))
 
 
+def _packed(rows: DataFrame, by: Sequence[str], order: str, values: Sequence[str]) -> DataFrame:
+    """by, clusters and an array of each of the values, in one order; a row a by-group, as long as it has clusters."""
+    one = rows.groupBy(*by).agg(F.count("*").alias("clusters"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *values))).alias("all"))
+    return one.select(*by, "clusters", *[F.col(f"all.{v}").alias(v) for v in values])
+
+
+def _dealt(packed: DataFrame, by: Sequence[str], draws: Column) -> DataFrame:
+    """A row a block of draws, spread over the tasks: `first` draw and `last` (one behind)."""
+    starts = F.sequence(F.lit(0).cast("long"), draws.cast("long") - 1, F.lit(DRAW_BLOCK).cast("long"))
+    blocks = packed.withColumn("first", F.explode(starts)).withColumn("last", F.least(F.col("first") + DRAW_BLOCK, draws.cast("long")))
+    return blocks.repartition(*by, "first")
+
+
+def _picks(seed: int, draw: int, n: int) -> np.ndarray:
+    """The clusters of one draw with replacement; every draw has a generator of its own, so that blocks may run anywhere."""
+    return np.random.default_rng((seed, draw)).integers(0, n, n)
+
+
+def _percentiles(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, low, high, status of drawn values `v`: EMPIRICAL_DEGENERATE where they do not differ."""
+    ends = values.groupBy(*by).agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), (F.max("v") - F.min("v")).alias("range"))
+    return ends.select(*by, F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.when(F.col("range") < 1e-14, "EMPIRICAL_DEGENERATE").otherwise("OK").alias("status"))
+
+
 def cluster_interval(rows: DataFrame, value: str, label: str, cluster: str, by: Sequence[str], draws: int = 5000, seed: int = 0) -> DataFrame:
-    """by, estimate, low, high, clusters, status: percentile interval of the label-macro mean under multinomial cluster weights. Fewer than two clusters: NOT_ESTIMABLE; no width: EMPIRICAL_DEGENERATE."""
-    inf = influence(rows, value, label, cluster, by).join(F.broadcast(macro_mean(rows, value, label, by)), list(by))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    """by, estimate, low, high, clusters, status: percentile interval of the label-macro mean when clusters are drawn with replacement: the estimate moves by the influence of those drawn. Fewer than two clusters: NOT_ESTIMABLE; no width: EMPIRICAL_DEGENERATE. Draws are rows, dealt over the tasks; each holds the influences of its by-group."""
+    packed = _packed(influence(rows, value, label, cluster, by), by, cluster, ["influence"]).join(macro_mean(rows, value, label, by), list(by))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(cluster)
-        x, est, n = f["influence"].to_numpy(), float(f["estimate"].iloc[0]), len(f)
-        row = {b: f[b].iloc[0] for b in by} | {"estimate": est, "clusters": n}
-        if n < 2:
-            return pd.DataFrame([row | {"low": None, "high": None, "status": "NOT_ESTIMABLE"}])
-        rng, out = np.random.Generator(np.random.PCG64(seed)), []
-        for start in range(0, draws, 100):
-            weights = rng.multinomial(n, np.full(n, 1 / n), size=min(100, draws - start))
-            out.append(est + (weights - 1) @ x)
-        low, high = np.percentile(np.concatenate(out), [2.5, 97.5])
-        return pd.DataFrame([row | {"low": low, "high": high, "status": "EMPIRICAL_DEGENERATE" if high - low <= 0 else "OK"}])
-
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", estimate double, low double, high double, clusters long, status string"
-    return inf.groupBy(*by).applyInPandas(lambda f: run(f)[[*by, "estimate", "low", "high", "clusters", "status"]], schema)
+    @F.pandas_udf("array<double>")
+    def moved(x: pd.Series, estimate: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([[e + v[_picks(seed, d, len(v))].sum() for d in range(a, b)] for v, e, a, b in zip(x, estimate, first, last, strict=True)])
+
+    drawn = _dealt(packed.filter("clusters > 1"), by, F.lit(draws)).select(*by, F.explode(moved("influence", "estimate", "first", "last")).alias("v"))
+    out = packed.join(_percentiles(drawn, by), list(by), "left")
+    return out.select(*by, "estimate", "low", "high", "clusters", F.coalesce("status", F.lit("NOT_ESTIMABLE")).alias("status"))
+
+
+def label_interval(rows: DataFrame, value: str, label: str, by: Sequence[str], draws: int = 5000, seed: int = 0) -> DataFrame:
+    """by, estimate, low, high, labels: percentile interval of the mean of label means when labels are drawn with replacement. A by-group without rows has no row."""
+    means = rows.groupBy(*by, label).agg(F.avg(value).alias("m")).filter("m IS NOT NULL")
+    packed = _packed(means, by, label, ["m"]).withColumn("estimate", F.aggregate("m", F.lit(0.0), lambda a, x: a + x) / F.col("clusters"))
+
+    @F.pandas_udf("array<double>")
+    def mean(x: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([[v[_picks(seed, d, len(v))].mean() for d in range(a, b)] for v, a, b in zip(x, first, last, strict=True)])
+
+    drawn = _dealt(packed, by, F.lit(draws)).select(*by, F.explode(mean("m", "first", "last")).alias("v"))
+    return packed.join(_percentiles(drawn, by), list(by)).select(*by, "estimate", "low", "high", F.col("clusters").alias("labels"))
 
 
 def signflip_exact(rows: DataFrame, value: str, most: int = 13) -> DataFrame:
@@ -72,26 +105,27 @@ def signflip_exact(rows: DataFrame, value: str, most: int = 13) -> DataFrame:
 
 
 def signflip(rows: DataFrame, value: str, by: Sequence[str], draws: int = 9999, seed: int = 0, exact_up_to: int = 13) -> DataFrame:
-    """by, n, p, error: two-sided sign-flip test of a sum; exact for few clusters, else (1 + extreme) / (1 + draws) with its Monte-Carlo error."""
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    """by, n, p, error: two-sided sign-flip test of a sum. Up to exact_up_to rows every sign pattern is a draw; beyond, p = (1 + extreme) / (1 + draws) with the Monte-Carlo error of draws + 1. Draws are rows, dealt over the tasks."""
+    packed = _packed(rows.filter(F.col(value).isNotNull()), by, value, [value]).withColumnRenamed(value, "x")
+    exact = F.col("clusters") <= exact_up_to
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(f[value].to_numpy())
-        n, seen = len(x), abs(x.sum())
-        if n <= exact_up_to:
-            signs = 1 - 2 * ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1)
-            p, error = float((np.abs(signs @ x) >= seen - 1e-12).mean()), 0.0
-        else:
-            rng, extreme = np.random.Generator(np.random.PCG64(seed)), 0
-            for start in range(0, draws, 500):
-                signs = rng.integers(0, 2, (min(500, draws - start), n)) * 2 - 1
-                extreme += int((np.abs(signs @ x) >= seen - 1e-12).sum())
-            p = (1 + extreme) / (1 + draws)
-            error = float(np.sqrt(p * (1 - p) / draws))
-        return pd.DataFrame([{b: f[b].iloc[0] for b in by} | {"n": n, "p": p, "error": error}])
-
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, p double, error double"
-    return rows.groupBy(*by).applyInPandas(run, schema)
+    @F.pandas_udf("long")
+    def extreme(x: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        def count(v: np.ndarray, a: int, b: int) -> int:
+            n, reached = len(v), abs(v.sum()) - 1e-12
+            if n <= exact_up_to:
+                flips = (np.arange(a, b)[:, None] >> np.arange(n)) & 1
+            else:
+                flips = np.stack([np.random.default_rng((seed, d)).integers(0, 2, n) for d in range(a, b)])
+            return int((np.abs(v.sum() - 2 * (flips @ v)) >= reached).sum())
+
+        return pd.Series([count(v, a, b) for v, a, b in zip(x, first, last, strict=True)])
+
+    total = F.when(exact, F.pow(F.lit(2.0), F.col("clusters")).cast("long")).otherwise(F.lit(draws))
+    found = _dealt(packed, by, total).select(*by, extreme("x", "first", "last").alias("extreme")).groupBy(*by).agg(F.sum("extreme").alias("extreme"))
+    p = F.when(exact, F.col("extreme") / total).otherwise((F.col("extreme") + 1) / F.lit(1.0 + draws))
+    both = packed.join(found, list(by)).withColumn("p", p)
+    return both.select(*by, F.col("clusters").alias("n"), "p", F.when(exact, 0.0).otherwise(F.sqrt(F.col("p") * (1 - F.col("p")) / F.lit(1.0 + draws))).alias("error"))
 
 
 def paired_records(rows: DataFrame, transitions: Sequence[tuple[int, int]], group: str, label: str, cluster: str, size: str, value: str) -> DataFrame:
@@ -140,38 +174,31 @@ def random_subsets(labels: DataFrame, value: str, sizes: Sequence[int], repeats:
 
 
 def metric_intervals(components: DataFrame, by: Sequence[str], cluster: str, label: str, means: Sequence[str], bins: Sequence[str], draws: int = 1000, seed: int = 0) -> DataFrame:
-    """by, metric, estimate, low, high, status: percentile intervals of several metrics at once from additive parts (a row a group). macro_<first mean> is the mean of label means, the others are means over groups, ece the sum of absolute bin means; all are computed anew in each draw, so their denominators are resampled too. A task gets a row for each cluster and label."""
-    sums = components.groupBy(*by, cluster, label).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in [*means, *bins]])
-    kinds = {f.name: f.dataType.simpleString() for f in components.schema}
+    """by, metric, estimate, low, high, status: percentile intervals of several metrics at once from additive parts (a row a group) when clusters are drawn with replacement. macro_<first mean> is the mean of label means: the labels stay fixed and the estimate moves by the influence of the clusters drawn. The others are ratios whose denominators are drawn too: means over groups, and ece, the sum of absolute bin means. A draw's task holds a row a cluster."""
     names = [f"macro_{means[0]}", *means, *(["ece"] if bins else [])]
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([cluster, label])
-        clusters, at = np.unique(f[cluster].to_numpy(), return_inverse=True)
-        labels, lab = np.unique(f[label].to_numpy(), return_inverse=True)
-        values, n = f[[*means, *bins]].to_numpy(float), f["n"].to_numpy(float)
-        one_hot = np.eye(len(labels))[lab]
-
-        def metrics(w: np.ndarray) -> np.ndarray:
-            rows = w[:, at]
-            total = np.maximum(rows @ n, 1e-300)
-            pooled = (rows @ values) / total[:, None]
-            per_label, size = (rows * values[:, 0]) @ one_hot, (rows * n) @ one_hot
-            seen = size > 0
-            macro = np.where(seen, per_label / np.where(seen, size, 1), 0).sum(1) / np.maximum(seen.sum(1), 1)
-            parts = [macro[:, None], pooled[:, : len(means)]]
-            if bins:
-                parts.append(np.abs(pooled[:, len(means) :]).sum(1, keepdims=True))
-            return np.hstack(parts)
-
-        estimate, c = metrics(np.ones((1, len(clusters))))[0], len(clusters)
-        head = {b: f[b].iloc[0] for b in by}
-        if c < 2:
-            return pd.DataFrame([head | {"metric": m, "estimate": e, "low": None, "high": None, "status": "NOT_ESTIMABLE"} for m, e in zip(names, estimate, strict=True)])
-        rng = np.random.Generator(np.random.PCG64(seed))
-        drawn = np.vstack([metrics(rng.multinomial(c, np.full(c, 1 / c), size=min(100, draws - s)).astype(float)) for s in range(0, draws, 100)])
-        low, high = np.percentile(drawn, [2.5, 97.5], axis=0)
-        return pd.DataFrame([head | {"metric": m, "estimate": e, "low": a, "high": b, "status": "OK" if b > a else "EMPIRICAL_DEGENERATE"} for m, e, a, b in zip(names, estimate, low, high, strict=True)])
-
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", metric string, estimate double, low double, high double, status string"
-    return sums.groupBy(*by).applyInPandas(lambda f: run(f)[[*by, "metric", "estimate", "low", "high", "status"]], schema)
+    parts = [*means, *bins]
+    sums = components.groupBy(*by, cluster).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(c).cast("double")) for c in parts]).alias("sums"))
+    each = sums.join(influence(components, means[0], label, cluster, by), [*by, cluster])
+    packed = _packed(each, by, cluster, ["n", "sums", "influence"])
+    total = components.groupBy(*by).agg(*[F.avg(c).alias(c) for c in parts]).join(macro_mean(components, means[0], label, by), list(by))
+    ece = [sum((F.abs(F.col(c)) for c in bins), F.lit(0.0))] if bins else []
+    point = total.select(*by, F.array(F.col("estimate"), *[F.col(c).cast("double") for c in means], *ece).alias("point"))
+    packed = packed.join(point, list(by))
+
+    @F.pandas_udf("array<array<double>>")
+    def drawn(n: pd.Series, sums: pd.Series, x: pd.Series, point: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for size, s, v, p, a, b in zip(n, sums, x, point, first, last, strict=True):
+            s, rows = np.stack(s), []
+            for d in range(a, b):
+                at = _picks(seed, d, len(v))
+                ratio = s[at].sum(0) / size[at].sum()
+                rows.append([p[0] + v[at].sum(), *ratio[: len(means)], *([np.abs(ratio[len(means) :]).sum()] if bins else [])])
+            out.append(rows)
+        return pd.Series(out)
+
+    draw = _dealt(packed.filter("clusters > 1"), by, F.lit(draws)).select(*by, F.explode(drawn("n", "sums", "influence", "point", "first", "last")).alias("m"))
+    ends = _percentiles(draw.select(*by, F.posexplode("m").alias("place", "v")), [*by, "place"])
+    points = packed.select(*by, F.posexplode("point").alias("place", "estimate"))
+    named = points.join(ends, [*by, "place"], "left").withColumn("metric", F.get(F.array(*map(F.lit, names)), F.col("place")))
+    return named.select(*by, "metric", "estimate", "low", "high", F.coalesce("status", F.lit("NOT_ESTIMABLE")).alias("status"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators import gates
+from lattica.operators.numbering import numbered
 
 
 def with_class_index(rows: DataFrame, taxon: str, name: str = "class_index") -> DataFrame:
     """Classes numbered from 0 by taxon; the class table is small and joined back."""
-    classes = rows.select(taxon).distinct().withColumn(name, F.dense_rank().over(Window.orderBy(taxon)) - 1)
-    return rows.join(F.broadcast(classes), taxon)
+    return rows.join(numbered(rows.select(taxon).distinct(), [taxon], name), taxon)
 
 
 def combined(cohorts: Sequence[DataFrame], member: str, taxon: str) -> tuple[DataFrame, DataFrame]:
@@ -27,14 +27,14 @@ def combined(cohorts: Sequence[DataFrame], member: str, taxon: str) -> tuple[Dat
 def from_groups(groups: DataFrame, members: str, class_table: DataFrame, cohort: str) -> tuple[DataFrame, DataFrame]:
     """(a row a member of nested groups with its class, groups whose taxon has none)."""
     flat = groups.select(*[c for c in groups.columns if c != members], F.explode(members).alias("m")).select("*", "m.*").drop("m").withColumn("cohort", F.lit(cohort))
-    both = flat.join(F.broadcast(class_table.select("taxon_id", "class_index")), "taxon_id", "left")
+    both = flat.join(class_table.select("taxon_id", "class_index"), "taxon_id", "left")
     return both.filter("class_index IS NOT NULL"), gates.violations(both.filter("class_index IS NULL"), "no_class", F.col("observation_id"), F.col("taxon_id"))
 
 
 def class_table(current: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Current classes, then new ones, by `order` and id, numbered from 0; origin tells which."""
     both = current.withColumn("origin", F.lit(0)).unionByName(new.withColumn("origin", F.lit(1)))
-    return both.withColumn("class_index", F.row_number().over(Window.orderBy("origin", order, "taxon_id")) - 1)
+    return numbered(both, ["origin", order, "taxon_id"], "class_index")
 
 
 def canonical_taxa(rows: DataFrame, taxon: str, name: str, index: str) -> tuple[DataFrame, DataFrame]:

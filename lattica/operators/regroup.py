@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.scalars import stable_hex
 from lattica.operators import gates
+from lattica.operators.numbering import places
 
 PSEUDO_OBSERVER = -1
 
@@ -16,8 +17,7 @@ PSEUDO_OBSERVER = -1
 def group_order(members: DataFrame, group: str, stratum: Sequence[str], key: Column) -> DataFrame:
     """group, stratum, i (place from 0), m (groups in the stratum): a row a group."""
     g = members.select(group, *stratum).distinct().withColumn("order_key", key)
-    w = Window.partitionBy(*stratum).orderBy("order_key", group)
-    return g.withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(Window.partitionBy(*stratum))).drop("order_key")
+    return places(g, stratum, ["order_key", group]).drop("order_key")
 
 
 def signature(members: DataFrame, group: str, bin_column: str) -> DataFrame:
@@ -51,18 +51,18 @@ def repeats(members: DataFrame, group: str, member: str, rank: str, stratum: Seq
 
 
 def circular_groups(members: DataFrame, group: str, stratum: Sequence[str]) -> DataFrame:
-    """slot, donor: each group takes the next one's members, the last the first's; strata of one group fall out."""
-    w = Window.partitionBy(*stratum).orderBy(group)
-    g = members.select(group, *stratum).distinct()
-    whole = Window.partitionBy(*stratum)
-    return g.withColumn("donor", F.coalesce(F.lead(group).over(w), F.min(group).over(whole))).filter(F.col("donor") != F.col(group)).select(F.col(group).alias("slot"), "donor")
+    """slot, donor: each group takes the next one's members, the last the first's; strata of one group fall out. Places are joined, so that no stratum is one task."""
+    g = places(members.select(group, *stratum).distinct(), stratum, [group]).filter("m > 1")
+    donors = g.select(F.col(group).alias("donor"), *stratum, F.col("i").alias("next"))
+    return g.withColumn("next", (F.col("i") + 1) % F.col("m")).join(donors, [*stratum, "next"]).select(F.col(group).alias("slot"), "donor")
 
 
 def circular_members(members: DataFrame, group: str, rank: str, member: str, stratum: Sequence[str]) -> DataFrame:
     """slot, rank, member: members of a stratum in order (group, rank), each place taking the one before, the first the last."""
-    w = Window.partitionBy(*stratum).orderBy(group, rank)
-    last = F.max_by(member, F.struct(group, rank)).over(Window.partitionBy(*stratum))
-    return members.select(F.col(group).alias("slot"), rank, F.coalesce(F.lag(member).over(w), last).alias(member))
+    p = places(members.select(group, rank, member, *stratum), stratum, [group, rank])
+    taken = p.select(F.col(member).alias("taken"), *stratum, F.col("i").alias("before"))
+    slots = p.select(F.col(group).alias("slot"), rank, *stratum, ((F.col("i") + F.col("m") - 1) % F.col("m")).alias("before"))
+    return slots.join(taken, [*stratum, "before"]).select("slot", rank, F.col("taken").alias(member))
 
 
 def mapping_faults(mapping: DataFrame, members: DataFrame, group: str, member: str, label: str, least_donors: int = 2) -> DataFrame:

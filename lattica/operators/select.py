@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import stable_hex
+from lattica.operators.numbering import numbered
 
 
 def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
@@ -33,8 +34,8 @@ def priority_rank(rows: DataFrame, current: DataFrame, name: str, near: str, far
     left = rows.join(current.select(name), name, "left_anti")
     nears = current.select(near).distinct().withColumn("is_near", F.lit(True))
     fars = current.select(far).distinct().withColumn("is_far", F.lit(True))
-    ranked = left.join(F.broadcast(nears), near, "left").join(F.broadcast(fars), far, "left").withColumn("priority", F.when(F.col("is_near"), 0).when(F.col("is_far"), 1).otherwise(2)).drop("is_near", "is_far")
-    return ranked.withColumn("place", F.row_number().over(Window.orderBy("priority", key)) - 1)
+    ranked = left.join(nears, near, "left").join(fars, far, "left").withColumn("priority", F.when(F.col("is_near"), 0).when(F.col("is_far"), 1).otherwise(2)).drop("is_near", "is_far")
+    return numbered(ranked, ["priority", key], "place")
 
 
 class Flow:

@@ -48,13 +48,13 @@ def complete_families(rows: DataFrame, family: Sequence[str], size: int) -> Data
 
 
 def within_correlation(rows: DataFrame, x: str, y: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of x and y after their label means are taken off; null for two rows or fewer, or no variance."""
+    """Pearson correlation of x and y after their label means are taken off; null for two rows or fewer, or no variance. Variances and covariances of a label are partial aggregates, so a label is no task."""
     m = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    w = Window.partitionBy(*by, label)
-    m = m.select(*by, (F.col(x) - F.avg(x).over(w)).alias("u"), (F.col(y) - F.avg(y).over(w)).alias("v"))
-    ok = (F.count("*") > 2) & (F.var_pop("u") > 1e-24) & (F.var_pop("v") > 1e-24)
-    r = F.covar_pop("u", "v") / F.sqrt(F.var_pop("u") * F.var_pop("v"))
-    return m.groupBy(*by).agg(F.when(ok, r).alias("r"), F.count("*").alias("n"))
+    per = m.groupBy(*by, label).agg(F.count("*").alias("n"), F.var_pop(x).alias("u"), F.var_pop(y).alias("v"), F.covar_pop(x, y).alias("c"))
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    all_in = per.groupBy(*by).agg(F.sum("n").alias("rows"), mean("u").alias("u"), mean("v").alias("v"), mean("c").alias("c"))
+    ok = (F.col("rows") > 2) & (F.col("u") > 1e-24) & (F.col("v") > 1e-24)
+    return all_in.select(*by, F.when(ok, F.col("c") / F.sqrt(F.col("u") * F.col("v"))).alias("r"), F.col("rows").alias("n"))
 
 
 def stratified(rows: DataFrame, strata: Sequence[str], by: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
@@ -69,3 +69,22 @@ def support(rows: DataFrame, stratum: Sequence[str], least: int) -> tuple[DataFr
     counted = rows.withColumn("size", F.count("*").over(Window.partitionBy(*stratum)))
     lost = rows.groupBy(*stratum).agg(F.count("*").alias("size")).filter(F.col("size") < least).withColumn("reason", F.lit(f"fewer than {least}"))
     return counted.filter(F.col("size") >= least).drop("size"), lost
+
+
+def covariate_report(rows: DataFrame, covariates: Sequence[str], value: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, covariate, available and missing rows, r: of each covariate with the value after their label means are taken off. One unpivot in place of a scan a covariate."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates]))
+    long = rows.select(*by, label, F.col(value).alias("y"), pairs.alias("c")).select(*by, label, "y", "c.*")
+    there = F.col("x").isNotNull() & F.col("y").isNotNull()
+    counts = long.groupBy(*by, "covariate").agg(F.count_if(there).alias("available"), F.count_if(~there).alias("missing"))
+    return counts.join(within_correlation(long, "x", "y", label, [*by, "covariate"]).drop("n"), [*by, "covariate"], "left")
+
+
+def covariate_strata(rows: DataFrame, covariates: Sequence[str], value: str, label: str, parts: int = 4) -> DataFrame:
+    """covariate, bin (quantile bins of its available rows; repeated edges once), rows, labels, macro (mean of the label means of the value); a covariate of one value has none."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates]))
+    long = rows.select(label, F.col(value).alias("y"), pairs.alias("c")).select(label, "y", "c.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    edges = quantile_edges(long, "x", parts, ["covariate"]).filter(F.size("edges") > 1)
+    binned = long.join(edges, "covariate").withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x")))))
+    per = binned.groupBy("covariate", "bin", label).agg(F.avg("y").alias("m"), F.count("*").alias("n"))
+    return per.groupBy("covariate", "bin").agg(F.sum("n").alias("rows"), F.count("*").alias("labels"), F.avg("m").alias("macro"))

@@ -32,15 +32,38 @@ def pooled(subsets: DataFrame, classes: int, digits: int | None = None) -> DataF
     return subsets.withColumn("p", F.transform(mean, lambda x: F.round(x, digits)) if digits else mean)
 
 
+def pooled_subsets(groups: DataFrame, classes: int, digits: int | None = None, photos: str = "photos", low: int = 2, high: int = 5) -> DataFrame:
+    """A row for each subset: mask, k and p, the members' mean vector, without the members themselves. A group's vectors become one flat array; a subset's sums are plain arithmetic on it, which is compiled, and nothing is exchanged."""
+    if not 1 <= low <= high <= MOST_MEMBERS:
+        raise ValueError(f"group sizes must be within 1 and {MOST_MEMBERS}")
+    flat = F.flatten(F.transform(photos, lambda x: x["p"]))
+    kept = groups.filter(F.size(photos).between(low, high)).withColumn("n", F.size(photos)).withColumn("flat", flat).drop(photos)
+    each = kept.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, n)") - 1))).withColumn("k", F.bit_count("mask"))
+
+    def mean_of(c: int) -> Column:
+        out = F.lit(0.0)
+        for i in range(high):
+            out = out + F.when(F.getbit("mask", F.lit(i)) == 1, F.get("flat", F.lit(i * classes + c))).otherwise(F.lit(0.0))
+        out = out / F.col("k")
+        return F.round(out, digits) if digits else out
+
+    return each.withColumn("p", F.array(*[mean_of(c) for c in range(classes)])).drop("flat")
+
+
 def budget_plan(groups: DataFrame, key: str, budgets: list[int], seed: int, most: int | None = None, ids: str = "ids") -> DataFrame:
-    """Per group and budget k <= n the k-subsets of its sorted ids; more than `most` are cut to those with the smallest stable keys. replicate numbers them in key order."""
-    each = groups.withColumn("n", F.size(ids)).withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"shiftleft(1L, size({ids}))") - 1)))
-    each = each.withColumn("budget", F.bit_count("mask")).filter(F.col("budget").isin(*budgets))
-    text = F.array_join(F.transform(members(F.col(ids), F.col("mask")), lambda x: x.cast("string")), ";")
-    each = each.withColumn("photo_ids", text).withColumn("subset_key", stable_hex(F.lit(seed), F.col(key), F.col("budget"), F.col("photo_ids")))
-    ranked = each.groupBy(key, "budget").agg(F.array_sort(F.collect_list(F.struct("subset_key", "photo_ids"))).alias("all"))
-    kept = F.slice("all", 1, most) if most else F.col("all")
-    return ranked.select(key, "budget", F.posexplode(kept).alias("replicate", "s")).select(key, "budget", "replicate", "s.photo_ids", "s.subset_key")
+    """Per group and budget k <= n the k-subsets of its distinct sorted ids, in order of their ids; more than `most` are cut to those with the smallest stable keys, in that order. replicate numbers them. Made inside the group's row; larger groups than MOST_MEMBERS raise."""
+    sized = groups.select(key, F.array_sort(F.array_distinct(ids)).alias("ids"))
+    size = F.when(F.size("ids") <= MOST_MEMBERS, F.size("ids")).otherwise(F.raise_error(F.lit(f"a group has more than {MOST_MEMBERS} members")).cast("int"))
+    each = sized.withColumn("n", size).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in sorted(set(budgets))]))).filter("budget <= n AND budget > 0")
+    masks = F.filter(F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, n)") - 1), lambda m: F.bit_count(m) == F.col("budget"))
+    each = each.withColumn("subsets", F.transform(masks, lambda m: members(F.col("ids"), m)))
+    text = lambda x, by: F.array_join(F.transform(x, lambda i: i.cast("string")), by)
+    named = F.transform("subsets", lambda x: F.struct(stable_hex(F.lit(seed), F.col(key), F.col("budget"), text(x, "|")).alias("subset_key"), x.alias("ids")))
+    in_order = F.array_sort(F.transform("named", lambda s: F.struct(s["ids"].alias("ids"), s["subset_key"].alias("subset_key"))))
+    by_key = F.transform(F.slice(F.array_sort("named"), 1, most or 1), lambda s: F.struct(s["ids"].alias("ids"), s["subset_key"].alias("subset_key")))
+    kept = F.when(F.size("named") <= most, in_order).otherwise(by_key) if most else in_order
+    plan = each.withColumn("named", named).select(key, "budget", F.posexplode(kept).alias("replicate", "s"))
+    return plan.select(key, "budget", "replicate", text(F.col("s.ids"), ";").alias("photo_ids"), "s.subset_key")
 
 
 def coverage_faults(records: DataFrame, groups: DataFrame, key: str) -> DataFrame:

@@ -33,7 +33,7 @@ def r(column, digits: int = 8):
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a subset with its pooled vector and scores; nothing is exchanged after the groups are built."""
-    rows = B.pooled(B.with_subsets(groups(spark, sf_dir)), CLASSES, DIGITS)
+    rows = B.pooled_subsets(groups(spark, sf_dir), CLASSES, DIGITS)
     y, p = F.col("label"), F.col("p")
     return rows.select("g", "n", "label", "observer", "cohort", "mask", "k", "p", S.argmax(p).alias("prediction"), S.correct(p, y).alias("correct"), S.confidence(p).alias("confidence"), S.nll(p, y).alias("nll"), S.brier(p, y).alias("brier"), S.in_top(p, y, 3).alias("top3"), S.floor_bin(S.confidence(p), 15).alias("bin"))
 
@@ -246,10 +246,10 @@ def seed_dispersion(spark, sf_dir):
 
 
 @query(f"""WITH {POOLED_SQL}, ids AS (SELECT g, k, mask, (SELECT string_agg((g * 100 + b)::VARCHAR, ';' ORDER BY b) FROM range(5) t(b) WHERE (mask >> b) & 1 = 1) AS photo_ids FROM sc),
-h AS (SELECT *, substr(sha256('17|' || g || '|' || k || '|' || photo_ids), 1, 16) AS subset_key FROM ids)
-SELECT g, k AS budget, row_number() OVER (PARTITION BY g, k ORDER BY subset_key) - 1 AS replicate, photo_ids, subset_key FROM h QUALIFY replicate < 4""")
+h AS (SELECT *, substr(sha256('17|' || g || '|' || k || '|' || replace(photo_ids, ';', '|')), 1, 16) AS subset_key FROM ids)
+SELECT g, k AS budget, CASE WHEN count(*) OVER (PARTITION BY g, k) <= 4 THEN row_number() OVER (PARTITION BY g, k ORDER BY photo_ids) ELSE row_number() OVER (PARTITION BY g, k ORDER BY subset_key) END - 1 AS replicate, photo_ids, subset_key FROM h QUALIFY replicate < 4""")
 def capped_budget_plan(spark, sf_dir):
-    """At most four subsets of each size, by stable key."""
+    """At most four subsets of each size, by stable key where there are more."""
     ids = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("g") * 100 + i)
     return B.budget_plan(groups(spark, sf_dir).select("g", ids.alias("ids")), "g", [1, 2, 3, 4, 5], 17, 4)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions import scalars as V
 from lattica.functions import urls
 from lattica.operators import dedup, gates, infer, joins, regroup, select, strata
+from lattica.operators.numbering import numbered
 from lattica.plans.binding import LINES_SQL, POOLED_SQL, photos, table
 from lattica.plans.lattice import paired, r
 from lattica.streaming import fold
@@ -118,12 +119,12 @@ def dimension_join(spark, sf_dir):
     return c.groupBy("n_name").agg(r(F.avg("c_acctbal"), 6).alias("balance"), F.count("*").alias("customers"))
 
 
-@query("""SELECT c_custkey, CASE WHEN (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 20)) > 0 THEN 'r' || c_nationkey % 5 ELSE 'x' END AS name FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey + 1 FROM nation)) > 0 THEN 'r' || c_nationkey % 5 ELSE 'x' END AS name FROM customer""")
 def fallback_join(spark, sf_dir):
-    """A second key pair for all rows once the first leaves one unmatched."""
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_nationkey", (F.col("n_nationkey") % 5).alias("k5"), F.concat(F.lit("r"), F.col("n_nationkey") % 5).alias("name"))
+    """A second key pair for all rows once the first, whose numbers start at one, leaves one unmatched."""
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("key"), (F.col("n_nationkey") % 5).alias("k5"), F.concat(F.lit("r"), F.col("n_nationkey") % 5).alias("name"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_nationkey") % 5).alias("c5"))
-    return joins.with_fallback(c, n, ("c_nationkey", "n_nationkey"), ("c5", "k5"), "name").select("c_custkey", "name")
+    return joins.with_fallback(c, n, ("c_nationkey", "key"), ("c5", "k5"), "name").select("c_custkey", "name")
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
@@ -185,18 +186,6 @@ def canonical_manifest(spark, sf_dir):
     return numbered(o.join(F.broadcast(classes), "o_orderpriority"), ["o_orderpriority", "o_orderkey"]).select("row_id", "class_index", "o_orderkey", "o_orderpriority")
 
 
-def numbered(rows, order: list[str], name: str = "row_id"):
-    """Global row numbers from 0 by range partitions: each is numbered within and moved by the sizes of those before it (one number a partition). The sorted rows are checkpointed, so that both uses see the same ranges."""
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    w = Window.partitionBy("part").orderBy(*order)
-    placed = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).withColumn("within", F.row_number().over(w) - 1).checkpoint()
-    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    return placed.join(F.broadcast(before), "part").withColumn(name, F.col("within") + F.col("before")).drop("part", "within", "before")
-
-
 @query("""WITH a AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT o_orderpriority, sum(n) AS t FROM a GROUP BY 1)
 SELECT o_orderpriority, round(max(n / t), 10) AS largest_share, round(sum((n / t) ^ 2), 10) AS concentration FROM a JOIN t USING (o_orderpriority) GROUP BY 1""")
 def observer_concentration(spark, sf_dir):
@@ -206,12 +195,12 @@ def observer_concentration(spark, sf_dir):
     return a.join(F.broadcast(t), "o_orderpriority").groupBy("o_orderpriority").agg(r(F.max(share), 10).alias("largest_share"), r(F.sum(share * share), 10).alias("concentration"))
 
 
-@query("""WITH c AS (SELECT n_nationkey, count(DISTINCT c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9000 GROUP BY 1)
-SELECT n_nationkey, customers, customers >= 8 AS enough FROM c""")
+@query("""WITH c AS (SELECT n_nationkey, count(DISTINCT c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY 1)
+SELECT n_nationkey, customers, customers >= 60 AS enough FROM c""")
 def support_counts(spark, sf_dir):
     """Counts over the full list of classes, zero where there is none."""
-    c = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_distinct("c_custkey").alias("n"))
-    return table(spark, sf_dir, "nation").select("n_nationkey").join(c, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).alias("customers"), (F.coalesce("n", F.lit(0)) >= 8).alias("enough"))
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count_distinct("c_custkey").alias("n"))
+    return table(spark, sf_dir, "nation").select("n_nationkey").join(c, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).alias("customers"), (F.coalesce("n", F.lit(0)) >= 60).alias("enough"))
 
 
 @query("""SELECT o_orderpriority, count(DISTINCT CASE WHEN o_custkey % 10 < 6 THEN o_custkey END) AS train, count(DISTINCT CASE WHEN o_custkey % 10 IN (6, 7) THEN o_custkey END) AS validation, count(DISTINCT CASE WHEN o_custkey % 10 > 7 THEN o_custkey END) AS test FROM orders GROUP BY 1""")
@@ -240,10 +229,10 @@ def unpivoted_summary(spark, sf_dir):
     return u.groupBy("metric").agg(r(F.avg("v"), 6).alias("mean"), r(F.stddev_samp("v"), 6).alias("sd"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
-@query("""SELECT taxon, least(3, g)::INT AS lower, least(8, g)::INT AS upper, greatest(3 - g, 0) AS shortfall FROM (SELECT c_nationkey AS taxon, count(*) AS g FROM customer WHERE c_acctbal > 9500 GROUP BY 1)""")
+@query("""SELECT taxon, least(58, g)::INT AS lower, least(64, g)::INT AS upper, greatest(58 - g, 0) AS shortfall FROM (SELECT c_nationkey AS taxon, count(*) AS g FROM customer GROUP BY 1)""")
 def selection_targets(spark, sf_dir):
-    g = table(spark, sf_dir, "customer").filter("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("taxon")).agg(F.count("*").alias("groups"))
-    return select.targets(g, None, 3, 8).join(g, "taxon").select("taxon", "lower", "upper", F.greatest(3 - F.col("groups"), F.lit(0)).alias("shortfall"))
+    g = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("taxon")).agg(F.count("*").alias("groups"))
+    return select.targets(g, None, 58, 64).join(g, "taxon").select("taxon", "lower", "upper", F.greatest(58 - F.col("groups"), F.lit(0)).alias("shortfall"))
 
 
 @query("""SELECT o_orderpriority, o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY ALL""")
@@ -334,11 +323,11 @@ def within_label_corr(spark, sf_dir):
     return strata.within_correlation(e.join(v, "g"), "value", "a", "label").select(r("r").alias("r"), "n")
 
 
-@query("""WITH p AS (SELECT p_brand AS family, p_partkey, least(1.0::DOUBLE, p_retailprice / 100000) AS p FROM part WHERE p_size < 5),
+@query("""WITH p AS (SELECT p_brand AS family, p_partkey, least(1.0::DOUBLE, p_retailprice / 100000) AS p FROM part),
 s AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, p_partkey) + 1) * p AS step FROM p)
 SELECT family, p_partkey, round(least(1.0::DOUBLE, max(step) OVER (PARTITION BY family ORDER BY p, p_partkey)), 10) AS adjusted FROM s""")
 def holm_families(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_size < 5").select(F.col("p_brand").alias("family"), "p_partkey", F.least(F.lit(1.0), F.col("p_retailprice") / 100000).alias("p"))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), "p_partkey", F.least(F.lit(1.0), F.col("p_retailprice") / 100000).alias("p"))
     return strata.holm(p, "p", ["family"], ["p_partkey"]).select("family", "p_partkey", r("adjusted", 10).alias("adjusted"))
 
 
@@ -389,51 +378,56 @@ def stable_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", V.stable_hex(F.lit(7), F.col("c_custkey"), F.col("c_mktsegment")).alias("hex"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding[1:8] AS e FROM embeddings), x AS (SELECT vec_id, list_transform(e, lambda a: exp(a::DOUBLE - list_max(e)::DOUBLE)) AS x FROM v)
-SELECT vec_id, round(x[1] / list_sum(x), 8) AS first, round(x[8] / list_sum(x), 8) AS last FROM x""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT vec_id, list_transform(e, lambda a: exp(a - list_max(e))) AS x FROM v)
+SELECT vec_id, round(x[1] / list_sum(x), 8) AS first, round(x[-1] / list_sum(x), 8) AS last FROM x""")
 def softmax_vectors(spark, sf_dir):
-    e = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", V.softmax(e).alias("p")).select("vec_id", r(F.get("p", F.lit(0))).alias("first"), r(F.get("p", F.lit(7))).alias("last"))
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.softmax(e).alias("p")).select("vec_id", r(F.get("p", F.lit(0))).alias("first"), r(F.element_at("p", -1)).alias("last"))
 
 
 # Near duplicates and components
 
-SIGNS_SQL = "h AS (SELECT vec_id AS id, (SELECT sum(CASE WHEN embedding[i + 1] > 0 THEN (1 << i)::BIGINT ELSE 0 END)::BIGINT FROM range(16) t(i)) AS hash FROM embeddings)"
-PAIRS_SQL = f"{SIGNS_SQL}, pr AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 2)"
+#: Bits in which the members of a group of four parts differ from its hash: 0, 1, 4 and 7 of 64.
+FLIPS = (0, 1, 30, 4064)
+HASH_SQL = f"h AS (SELECT p_partkey AS id, xor(('0x' || substr(sha256((p_partkey // 4)::VARCHAR), 1, 15))::BIGINT, [{', '.join(map(str, FLIPS))}][p_partkey % 4 + 1]::BIGINT) AS hash FROM part)"
+PAIRS_SQL = f"{HASH_SQL}, pr AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 4)"
 
 
-def signs(spark, sf_dir):
-    bits = F.aggregate(F.transform(F.slice("embedding", 1, 16), lambda x, i: F.when(x > 0, F.expr("1L").cast("long") * F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("hash"))
+def hashes(spark, sf_dir):
+    """id and a 64-bit hash of each part; parts of a group of four are near each other."""
+    base = F.conv(F.substring(F.sha2(F.floor(F.col("p_partkey") / 4).cast("string"), 256), 1, 15), 16, 10).cast("long")
+    flips = F.get(F.array(*[F.lit(x).cast("long") for x in FLIPS]), (F.col("p_partkey") % 4).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), base.bitwiseXOR(flips).alias("hash"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT * FROM pr")
 def near_dup_band_join(spark, sf_dir):
-    h = signs(spark, sf_dir)
-    return dedup.near_pairs(h, h, 2, 16)
+    h = hashes(spark, sf_dir)
+    return dedup.near_pairs(h, h, 4)
 
 
 @query(f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr), c AS (SELECT id, id AS root FROM h UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id)
 SELECT id, min(root) AS root FROM c GROUP BY id""")
 def component_roots(spark, sf_dir):
-    h = signs(spark, sf_dir)
-    return dedup.components(h, dedup.near_pairs(h, h, 2, 16))
+    h = hashes(spark, sf_dir)
+    return dedup.components(h, dedup.near_pairs(h, h, 4))
 
 
 @query(f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr), c AS (SELECT id, id AS root FROM h UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.id),
-m AS (SELECT id, min(root) AS root FROM c GROUP BY id), d AS (SELECT id, id // 4 AS grp, root <> id AS dup FROM m), s AS (SELECT grp, count(*) FILTER (NOT dup) AS n, max(dup::INT) AS hit FROM d GROUP BY grp)
-SELECT 'collapse' AS scenario, count(*) AS members, count(DISTINCT grp) AS groups FROM d JOIN s USING (grp) WHERE NOT dup AND n >= 2 UNION ALL
+m AS (SELECT id, min(root) AS root FROM c GROUP BY id), d AS (SELECT id, id // 6 AS grp, root <> id AS dup FROM m), s AS (SELECT grp, count(*) FILTER (NOT dup) AS n, max(dup::INT) AS hit FROM d GROUP BY grp)
+SELECT 'collapse' AS scenario, count(*) AS members, count(DISTINCT grp) AS groups FROM d JOIN s USING (grp) WHERE NOT dup AND n >= 3 UNION ALL
 SELECT 'exclude', count(*), count(DISTINCT grp) FROM d JOIN s USING (grp) WHERE hit = 0""")
 def cohort_collapse(spark, sf_dir):
-    h = signs(spark, sf_dir)
-    members = h.select("id", F.floor(F.col("id") / 4).alias("grp"))
-    return dedup.scenarios(members, dedup.components(h, dedup.near_pairs(h, h, 2, 16)), "grp", "id")
+    h = hashes(spark, sf_dir)
+    members = h.select("id", F.floor(F.col("id") / 6).alias("grp"))
+    return dedup.scenarios(members, dedup.components(h, dedup.near_pairs(h, h, 4)), "grp", "id", 3)
 
 
-@query(f"""WITH {SIGNS_SQL} SELECT distance, count(*) AS pairs FROM (SELECT bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id % 10 = 0 AND b.id % 10 <> 0) WHERE distance <= 3 GROUP BY 1""")
+@query(f"""WITH {HASH_SQL} SELECT distance, count(*) AS pairs FROM (SELECT bit_count(xor(a.hash, b.hash))::INT AS distance FROM h a JOIN h b ON a.id % 10 = 0 AND b.id % 10 <> 0) WHERE distance <= 4 GROUP BY 1""")
 def history_distance_histogram(spark, sf_dir):
-    h = signs(spark, sf_dir)
-    return dedup.near_pairs(h.filter("id % 10 = 0"), h.filter("id % 10 <> 0"), 3, 16, ordered=False).groupBy("distance").agg(F.count("*").alias("pairs"))
+    """New items (a tenth) against history (the rest)."""
+    h = hashes(spark, sf_dir)
+    return dedup.near_pairs(h.filter("id % 10 = 0"), h.filter("id % 10 <> 0"), 4, ordered=False).groupBy("distance").agg(F.count("*").alias("pairs"))
 
 
 @query("""WITH e AS (SELECT vec_id // 5 AS grp, vec_id, embedding::DOUBLE[] AS v FROM embeddings)
@@ -502,14 +496,25 @@ def mapping_balance(spark, sf_dir):
 # Inference
 
 
-@query("""WITH x AS (SELECT n_regionkey * 1.0::DOUBLE + n_nationkey / 7.0::DOUBLE - 4 AS x, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation WHERE n_nationkey < 10),
-m AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN x ELSE -x END) AS s FROM x, range(1024) t(m) GROUP BY m)
-SELECT 10 AS n, avg(CASE WHEN abs(s) >= (SELECT abs(sum(x)) FROM x) - 1e-12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM m""")
+@query("""WITH x AS (SELECT sum(n_nationkey) / 7.0::DOUBLE - 8 AS x, n_regionkey AS i FROM nation GROUP BY n_regionkey),
+m AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN x ELSE -x END) AS s FROM x, range(32) t(m) GROUP BY m)
+SELECT 5 AS n, avg(CASE WHEN abs(s) >= (SELECT abs(sum(x)) FROM x) - 1e-9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM m""")
 def signflip_exact(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").filter("n_nationkey < 10").select((F.col("n_regionkey") * F.lit(1.0) + F.col("n_nationkey") / F.lit(7.0) - 4).alias("x"))
+    """All sign patterns of the regions' sums."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg((F.sum("n_nationkey") / F.lit(7.0) - 8).alias("x"))
     return infer.signflip_exact(n, "x")
 
 
+@query("""WITH c AS (SELECT c_mktsegment AS segment, c_nationkey % 12 AS unit, sum(c_acctbal - 4500) / 1000 AS x FROM customer GROUP BY ALL),
+u AS (SELECT segment, list(x ORDER BY x) AS xs, sum(x ORDER BY x) AS seen FROM c GROUP BY 1),
+m AS (SELECT segment, seen, len(xs) AS n, list_sum(list_transform(xs, lambda x, i: CASE WHEN (m >> (i - 1)::INT) & 1 = 1 THEN -x ELSE x END)) AS s FROM u JOIN range(4096) t(m) ON m < (1 << len(xs)::INT))
+SELECT segment, any_value(n)::BIGINT AS n, avg(CASE WHEN abs(s) >= abs(seen) - 1e-9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p, 0.0::DOUBLE AS error FROM m GROUP BY segment""")
+def signflip_by_segment(spark, sf_dir):
+    """A sign-flip test a market segment over its units (at most twelve), all patterns of each."""
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") % 12).alias("unit")).agg((F.sum(F.col("c_acctbal") - 4500) / 1000).alias("x"))
+    return infer.signflip(c, "x", ["segment"])
+
+
 @query(f"""WITH {POOLED_SQL}, e AS (SELECT g, label, observer, k, avg(correct) AS a FROM sc GROUP BY ALL), d AS (SELECT x.label, x.observer, y.a - x.a AS delta FROM e x JOIN e y ON x.g = y.g AND x.k = 1 AND y.k = 2),
 i AS (SELECT observer, (delta - avg(delta) OVER (PARTITION BY label)) / count(*) OVER (PARTITION BY label) AS part FROM d)
 SELECT observer, round(sum(part) / (SELECT count(DISTINCT label) FROM d), 10) AS influence FROM i GROUP BY observer""")
@@ -517,6 +522,15 @@ def cluster_influence(spark, sf_dir):
     return infer.influence(paired(spark, sf_dir), "delta", "label", "observer").select("observer", r("influence", 10).alias("influence"))
 
 
+@query(f"""WITH {POOLED_SQL}, e AS (SELECT g, label, observer, k, avg(correct) AS a FROM sc GROUP BY ALL), d AS (SELECT x.label, x.observer, x.observer % 2 AS half, y.a - x.a AS delta FROM e x JOIN e y ON x.g = y.g AND x.k = 1 AND y.k = 2),
+l AS (SELECT half, label, avg(delta) AS m FROM d GROUP BY ALL)
+SELECT half, round(avg(m), 8) AS estimate, (SELECT count(DISTINCT observer) FROM d WHERE d.half = l.half) AS clusters, 'OK' AS status, true AS ordered FROM l GROUP BY half""")
+def cluster_estimates(spark, sf_dir):
+    """What of an interval does not depend on the draws: estimate, clusters, status, and that the ends enclose the estimate."""
+    i = cluster_bootstrap(spark, sf_dir)
+    return i.select("half", r("estimate").alias("estimate"), "clusters", "status", F.expr("low < estimate AND estimate < high").alias("ordered"))
+
+
 @query()
 def cluster_bootstrap(spark, sf_dir):
     """Interval of the change from one member to two, by cohorts of customers; seeded."""
@@ -524,15 +538,40 @@ def cluster_bootstrap(spark, sf_dir):
     return infer.cluster_interval(p, "delta", "label", "observer", ["half"], 2000, 11)
 
 
+@query("""WITH m AS (SELECT c_mktsegment AS segment, c_nationkey, avg(c_acctbal) AS m FROM customer GROUP BY ALL) SELECT segment, round(avg(m), 6) AS estimate, count(*) AS labels, true AS ordered FROM m GROUP BY segment""")
+def label_interval(spark, sf_dir):
+    """The mean of nations' means by segment, with an interval from drawing nations; seeded."""
+    i = infer.label_interval(table(spark, sf_dir, "customer"), "c_acctbal", "c_nationkey", ["c_mktsegment"], 1000, 7)
+    return i.select(F.col("c_mktsegment").alias("segment"), r("estimate", 6).alias("estimate"), "labels", F.expr("low < estimate AND estimate < high").alias("ordered"))
+
+
+TRANSITIONS = [(1, 2), (2, 3), (2, 4), (2, 6)]
+
+
 @query()
 def paired_inference(spark, sf_dir):
     """Transitions of size with interval and sign-flip test, estimable or not; seeded."""
+    return infer.paired_inference(transitions(spark, sf_dir), "label", "observer", TRANSITIONS, 1000, 5)
+
+
+def transitions(spark, sf_dir):
     from lattica.operators.macro import expected
     from lattica.plans.lattice import scored
 
-    t = [(1, 2), (2, 3), (2, 4), (2, 6)]
     e = expected(scored(spark, sf_dir), ["g", "label", "observer"], ["correct"])
-    return infer.paired_inference(infer.paired_records(e, t, "g", "label", "observer", "k", "correct"), "label", "observer", t, 1000, 5)
+    return infer.paired_records(e, TRANSITIONS, "g", "label", "observer", "k", "correct")
+
+
+@query(f"""WITH {POOLED_SQL}, e AS (SELECT g, label, observer, k, avg(correct) AS a FROM sc GROUP BY ALL), t AS (SELECT * FROM (VALUES {', '.join(map(str, TRANSITIONS))}) AS t(a, b)),
+d AS (SELECT t.a, t.b, x.g, x.label, x.observer, y.a - x.a AS delta FROM t JOIN e x ON x.k = t.a JOIN e y ON y.k = t.b AND y.g = x.g), l AS (SELECT a, b, label, avg(delta) AS m, count(*) AS n FROM d GROUP BY ALL)
+SELECT t.a AS "from", t.b AS "to", round(avg(m), 8) AS estimate, coalesce(sum(n), 0)::BIGINT AS groups FROM t LEFT JOIN l USING (a, b) GROUP BY ALL""")
+def paired_estimates(spark, sf_dir):
+    """Estimate and groups of each transition, estimable or not."""
+    p = transitions(spark, sf_dir)
+    skeleton = spark.createDataFrame(TRANSITIONS, "`from` int, `to` int")
+    n = p.groupBy("from", "to").agg(F.count("*").alias("groups"))
+    both = skeleton.join(infer.macro_mean(p, "delta", "label", ["from", "to"]), ["from", "to"], "left").join(n, ["from", "to"], "left")
+    return both.select("from", "to", r("estimate").alias("estimate"), F.coalesce("groups", F.lit(0)).alias("groups"))
 
 
 # Intake

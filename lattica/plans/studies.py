@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions.scalars import stable_hex
 from lattica.operators import infer, manifest, review, select, subsets
 from lattica.operators.gates import violations
+from lattica.operators.numbering import numbered
 from lattica.plans.binding import LINES_SQL, POOLED_SQL, groups, table
 from lattica.plans.lattice import r, scored
 from lattica.sources import landing
@@ -66,17 +67,17 @@ def member_map(spark, sf_dir):
     return manifest.member_map(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").withColumnRenamed("o_custkey", "observer")
 
 
-@query("""WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) AS place, p_partkey AS k FROM part WHERE p_partkey < 50), b AS (SELECT row_number() OVER (ORDER BY p_partkey) AS place, p_partkey + CASE WHEN p_partkey % 9 = 4 THEN 1 ELSE 0 END AS k FROM part WHERE p_partkey < 30)
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_partkey AS k FROM part), b AS (SELECT place, k + CASE WHEN k % 9 = 4 THEN 1 ELSE 0 END AS k FROM a)
 SELECT place, b.k AS done, a.k AS plan FROM b LEFT JOIN a USING (place) WHERE b.k IS DISTINCT FROM a.k""")
 def prefix_faults(spark, sf_dir):
     """Places at which a resumed list leaves its plan."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 50").select("p_partkey", F.row_number().over(Window.orderBy("p_partkey")).alias("place"), F.col("p_partkey").alias("k"))
-    done = p.filter("p_partkey < 30").withColumn("k", F.when(F.col("k") % 9 == 4, F.col("k") + 1).otherwise(F.col("k")))
-    return manifest.prefix_faults(done.select("place", "k"), p.select("place", "k"), "place", "k")
+    p = numbered(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], "place").select("place", F.col("p_partkey").alias("k"))
+    done = p.withColumn("k", F.when(F.col("k") % 9 == 4, F.col("k") + 1).otherwise(F.col("k")))
+    return manifest.prefix_faults(done, p, "place", "k")
 
 
 @query(f"""WITH {POOLED_SQL}, s AS (SELECT g, mask, (SELECT string_agg((g * 100 + b)::VARCHAR, ';' ORDER BY b) FROM range(5) t(b) WHERE (mask >> b) & 1 = 1) AS photo_ids FROM sc WHERE k = 2)
-SELECT g, min_by(photo_ids, substr(sha256('0|' || g || '|2|' || photo_ids), 1, 16)) IS NOT NULL AS drawn, min(photo_ids) AS first FROM s GROUP BY g""")
+SELECT g, min_by(photo_ids, substr(sha256('0|' || g || '|2|' || replace(photo_ids, ';', '|')), 1, 16)) IS NOT NULL AS drawn, min(photo_ids) AS first FROM s GROUP BY g""")
 def subset_samples(spark, sf_dir):
     """One subset of two a group: the first, and one drawn by key."""
     ids = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("g") * 100 + i)
@@ -113,10 +114,10 @@ def review_status(spark, sf_dir):
     return review.status(done.select(F.col("b").alias("a"), F.col("a").alias("b"), "decision"), pairs.filter("b % 3 <> 1"))
 
 
-@query("""SELECT event_type AS taxon, count(*) AS records, count(DISTINCT user_id) AS observers, greatest(0, 60 - count(DISTINCT user_id)) AS shortfall FROM events WHERE value > 20 GROUP BY 1""")
+@query("""SELECT event_type AS taxon, count(*) AS records, count(DISTINCT user_id) AS observers, greatest(0, 2000 - count(DISTINCT user_id)) AS shortfall FROM events GROUP BY 1""")
 def census_shortfall(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("value > 20").select(F.col("event_id").alias("id"), F.col("event_type").alias("taxon"), "user_id")
-    return landing.census(e, "taxon", "user_id", 60)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("taxon"), "user_id")
+    return landing.census(e, "taxon", "user_id", 2000)
 
 
 @query("""WITH n AS (SELECT lower(p_name) AS k, count(DISTINCT p_partkey) AS c, min(p_partkey) AS id FROM part WHERE p_size > 45 GROUP BY 1) SELECT DISTINCT p_name AS name, CASE WHEN c = 1 THEN id END AS id FROM part LEFT JOIN n ON k = lower(p_name)""")
@@ -137,7 +138,7 @@ def unmapped_classes(spark, sf_dir):
     """Rows whose class is not in the table."""
     c = table(spark, sf_dir, "customer")
     known = c.filter("c_mktsegment <> 'MACHINERY'").select("c_mktsegment").distinct()
-    return violations(c.join(F.broadcast(known), "c_mktsegment", "left_anti"), "unmapped", F.col("c_custkey"), F.col("c_mktsegment"))
+    return violations(c.join(known, "c_mktsegment", "left_anti"), "unmapped", F.col("c_custkey"), F.col("c_mktsegment"))
 
 
 @query("""SELECT substr(sha256('42|' || vec_id), 1, 16) AS h, vec_id FROM embeddings ORDER BY 1, 2 LIMIT 25""")

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.scalars import instant, stable_hex
+from lattica.functions.urls import large_url
 from lattica.operators.gates import first_reason
 
 RECORD = "id long, user struct<id: long>, taxon struct<id: long, name: string, rank: string, is_active: boolean, ancestor_ids: array<long>>, quality_grade string, created_at string, observed_on string, photos array<struct<id: long, license_code: string, attribution: string, url: string>>"
 PAGE = f"page int, results array<struct<{', '.join(f.replace(' ', ': ', 1) for f in ['id long', 'user struct<id: long>', 'taxon struct<id: long, name: string, rank: string, is_active: boolean, ancestor_ids: array<long>>', 'quality_grade string', 'created_at string', 'observed_on string', 'photos array<struct<id: long, license_code: string, attribution: string, url: string>>'])}>>"
-LICENSES = ("cc0", "cc-by", "cc-by-nc", "cc-by-sa", "cc-by-nc-sa")
+#: Licences under which photos may be used, and hosts that hold them.
+LICENSES = ("cc0", "cc-by", "cc-by-sa")
+HOSTS = ("inaturalist-open-data.s3.amazonaws.com", "static.inaturalist.org")
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -29,24 +32,34 @@ def page_stream(spark: SparkSession, path: str, files: int = 10) -> DataFrame:
     return p.select("page", F.posexplode("results").alias("place", "o")).select("page", "place", "o.*")
 
 
-def usable(photos: Column, licenses: tuple[str, ...] = LICENSES) -> Column:
-    """Photos with an id, an allowed licence, an attribution and an https address."""
-    return F.filter(photos, lambda p: p["id"].isNotNull() & p["license_code"].isin(*licenses) & (F.trim(F.coalesce(p["attribution"], F.lit(""))) != "") & F.coalesce(p["url"].startswith("https://"), F.lit(False)))
-
-
-def classified(records: DataFrame, taxon: int, cutoff: str, historical_groups: DataFrame, historical_observers: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
-    """Each record with its first reason to fall out, or null and its first `most` usable photos by id."""
-    h = records.join(historical_groups.select(F.col("id").alias("id"), F.lit(True).alias("old_group")).distinct(), "id", "left")
-    h = h.join(historical_observers.select(F.col("id").alias("observer"), F.lit(True).alias("old_observer")).distinct(), F.col("user.id") == F.col("observer"), "left")
-    at = instant(F.col("created_at"))
-    kept = F.slice(F.array_sort(usable(F.coalesce("photos", F.expr("array()")))), 1, most)
+def usable(photos: Column, licenses: tuple[str, ...] = LICENSES, hosts: tuple[str, ...] = HOSTS, old: Column | None = None) -> Column:
+    """Photos with an id that is not among `old` ones, an allowed licence, an attribution and an address of a known size on an allowed host; of several with one id the first."""
+    known = F.coalesce(old, F.expr("CAST(array() AS array<bigint>)")) if old is not None else F.expr("CAST(array() AS array<bigint>)")
+    good = F.filter(photos, lambda p: p["id"].isNotNull() & ~F.array_contains(known, p["id"]) & p["license_code"].isin(*licenses) & (F.coalesce(p["attribution"], F.lit("")) != "") & large_url(p["url"], hosts).isNotNull())
+    ids = F.transform(good, lambda p: p["id"])
+    return F.transform(F.filter(F.transform(good, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: F.array_position(ids, s["p"]["id"]) == s["i"] + 1), lambda s: s["p"])
+
+
+def classified(records: DataFrame, taxon: int | None, cutoff: str, historical_groups: DataFrame, historical_observers: DataFrame, historical_photos: DataFrame | None = None, least: int = 2, most: int = 5, licenses: tuple[str, ...] = LICENSES, hosts: tuple[str, ...] = HOSTS, descendants: bool = False) -> DataFrame:
+    """Each record with its first reason to fall out, or null and its first `most` usable photos by id. A record's taxon must be the one asked for (its own column `wanted` if taxon is null), or with `descendants` one below it; a creation time needs its zone. History: frames with id; records keep their ids once each."""
+    h = records.join(historical_groups.select("id").distinct().withColumn("old_group", F.lit(True)), "id", "left")
+    h = h.join(historical_observers.select(F.col("id").alias("observer")).distinct().withColumn("old_observer", F.lit(True)), F.col("user.id") == F.col("observer"), "left")
+    old = None
+    if historical_photos is not None:
+        shown = records.select("id", F.explode("photos.id").alias("photo")).join(historical_photos.select(F.col("id").alias("photo")), "photo", "left_semi")
+        h = h.join(shown.groupBy("id").agg(F.collect_set("photo").alias("old_photos")), "id", "left")
+        old = F.col("old_photos")
+    want = F.lit(taxon) if taxon is not None else F.col("wanted")
+    same = F.col("taxon.id") == want
+    at = F.when(F.col("created_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), instant(F.col("created_at")))
+    kept = F.slice(F.array_sort(usable(F.coalesce("photos", F.expr("array()")), licenses, hosts, old)), 1, most)
     reason = first_reason([
-        ("invalid_identity", F.col("id").isNull() | F.col("user.id").isNull()), ("historical_observation", F.col("old_group")), ("historical_observer", F.col("old_observer")),
-        ("wrong_taxon", ~F.coalesce((F.col("taxon.id") == taxon) | F.array_contains("taxon.ancestor_ids", taxon), F.lit(False))), ("not_research_grade", ~F.col("quality_grade").eqNullSafe(F.lit("research"))),
-        ("invalid_timestamp", at.isNull()), ("after_cutoff", at > F.lit(cutoff).cast("timestamp")), ("too_few_photos", F.size(kept) < least),
+        ("invalid_source_identity", F.col("id").isNull() | F.col("user.id").isNull()), ("historical_observation", F.col("old_group")), ("historical_observer", F.col("old_observer")),
+        ("not_exact_species_id", ~F.coalesce(same | F.array_contains("taxon.ancestor_ids", want) if descendants else same, F.lit(False))), ("not_research_grade", ~F.col("quality_grade").eqNullSafe(F.lit("research"))),
+        ("invalid_created_at", at.isNull()), ("after_creation_cutoff", at > F.lit(cutoff).cast("timestamp")), ("fewer_than_two_usable_photos", F.size(kept) < least),
     ])
     out = h.withColumn("reason", reason).withColumn("kept", F.when(F.col("reason").isNull(), kept))
-    return out.drop("old_group", "old_observer", "observer")
+    return out.drop("old_group", "old_observer", "observer", "old_photos")
 
 
 def hashed_photos(photos: Column, seed: int, most: int) -> Column:

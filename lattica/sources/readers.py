@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lattica.functions.scalars import whole_number
+from lattica.operators import gates
 
 #: The 20 columns of a member manifest, in order (fixed values).
 MANIFEST = "row_id long, cohort string, observation_id long, observer_id long, taxon_id long, class_index int, scientific_name string, common_name string, observed_on string, created_at string, place_ids string, photo_id long, license_code string, attribution string, url string, local_path string, sha256 string, width int, height int, legacy_split string"
@@ -67,19 +68,33 @@ def binary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, matrix: str, index: DataFrame, key: str) -> DataFrame:
-    """key, feature: rows of .npy matrices named by index (key, feature_row). The matrix is read on executors in one task a file; export large ones as Parquet."""
+    """key, feature: rows of .npy matrices named by index (key, feature_row, and `matrix`, the file's name, where the path holds several). A matrix is read by one task a file; export large ones as Parquet."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
 
         for f in frames:
-            for content in f["content"]:
+            for path, content in zip(f["path"], f["content"], strict=True):
                 x = np.load(io.BytesIO(content), allow_pickle=False)
+                if x.ndim != 2 or 0 in x.shape:
+                    raise ValueError(f"{path} is no matrix with rows and columns")
                 for a in range(0, len(x), 4096):
-                    yield pd.DataFrame({"feature_row": np.arange(a, min(len(x), a + 4096)), "feature": [v.tolist() for v in x[a : a + 4096]]})
-
-    matrix_rows = spark.read.format("binaryFile").load(matrix).select("content").mapInPandas(rows, "feature_row long, feature array<float>")
-    return index.select(key, F.col("feature_row").cast("long")).join(matrix_rows, "feature_row").select(key, "feature")
+                    yield pd.DataFrame({"matrix": path.rsplit("/", 1)[-1], "feature_row": np.arange(a, min(len(x), a + 4096)), "feature": [v.tolist() for v in x[a : a + 4096]]})
+
+    files = spark.read.format("binaryFile").load(matrix)
+    matrix_rows = files.select("path", "content").mapInPandas(rows, "matrix string, feature_row long, feature array<float>")
+    named = ["matrix", "feature_row"] if "matrix" in index.columns else ["feature_row"]
+    if len(named) == 1 and files.select("path").limit(2).count() > 1:
+        raise ValueError("several matrices under one path need an index with their names")
+    at = index.withColumn("feature_row", F.col("feature_row").cast("long"))
+    return at.select(key, *named).join(matrix_rows, named).select(key, "feature")
+
+
+def index_faults(index: DataFrame, rows: int, key: str) -> DataFrame:
+    """What is wrong with an index of a matrix of so many rows: keys or rows named twice, rows outside, another length."""
+    outside = gates.failing(index, "feature_row_outside", key, ~F.col("feature_row").between(0, rows - 1))
+    n = gates.violations(index.agg(F.count("*").alias("n")).filter(F.col("n") != rows), "index_length", F.col("n"), F.lit(str(rows)))
+    return gates.report([gates.unique(index, [key]), gates.unique(index, ["feature_row"]), outside, n])
 
 
 def named_arrays(spark: SparkSession, path: str, key: str, vector: str) -> DataFrame:

@@ -22,7 +22,7 @@ def accepted(events: DataFrame, key: str, user: str, order: str, per_user: int =
     capped = top_per_group(once, [key, user], [F.desc(order)], per_user)
     firsts = capped.groupBy(key, user).agg(F.max(order).alias("first"))
     last = top_per_group(firsts, [key], [F.desc("first")], users).groupBy(key).agg(F.min("first").alias("cut"), F.count("*").alias("came"))
-    return capped.join(F.broadcast(last), key).filter((F.col("came") < users) | (F.col(order) >= F.col("cut"))).drop("cut", "came")
+    return capped.join(last, key).filter((F.col("came") < users) | (F.col(order) >= F.col("cut"))).drop("cut", "came")
 
 
 def stop_reason(events: DataFrame, key: str, user: str, order: str, users: int = 20, budget: int | None = None) -> DataFrame:

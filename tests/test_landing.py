@@ -10,23 +10,30 @@ from lattica.operators import infer, manifest, review, subsets
 from lattica.sources import landing
 
 
+def photo(i):
+    return {"id": i, "license_code": "cc-by", "attribution": "a", "url": f"https://static.inaturalist.org/{i}/square.jpg"}
+
+
 def record(**changes):
-    photo = lambda i: {"id": i, "license_code": "cc-by", "attribution": "a", "url": f"https://x.org/{i}/square.jpg"}
     base = {"id": 1, "user": {"id": 9}, "taxon": {"id": 5, "ancestor_ids": [1, 5]}, "quality_grade": "research", "created_at": "2024-01-01T00:00:00Z", "observed_on": None, "photos": [photo(i) for i in (4, 3, 2)]}
     return base | changes
 
 
 def test_first_reason_of_landed_records(spark, tmp_path):
     cases = [
-        (record(id=10), None), (record(id=None), "invalid_identity"), (record(id=11, user={"id": None}), "invalid_identity"), (record(id=77), "historical_observation"), (record(id=12, user={"id": 88}), "historical_observer"),
-        (record(id=13, taxon={"id": 6, "ancestor_ids": [1]}), "wrong_taxon"), (record(id=14, quality_grade="casual"), "not_research_grade"), (record(id=15, created_at="2024-01-01T00:00:00"), "invalid_timestamp"),
-        (record(id=16, created_at="2025-01-01T00:00:00Z"), "after_cutoff"), (record(id=17, photos=record()["photos"][:1]), "too_few_photos"), (record(id=18, photos=None), "too_few_photos"),
+        (record(id=10), None), (record(id=None), "invalid_source_identity"), (record(id=11, user={"id": None}), "invalid_source_identity"), (record(id=77), "historical_observation"), (record(id=12, user={"id": 88}), "historical_observer"),
+        (record(id=13, taxon={"id": 6, "ancestor_ids": [1]}), "not_exact_species_id"), (record(id=19, taxon={"id": 6, "ancestor_ids": [1, 5, 6]}), "not_exact_species_id"), (record(id=14, quality_grade="casual"), "not_research_grade"), (record(id=15, created_at="2024-01-01T00:00:00"), "invalid_created_at"),
+        (record(id=16, created_at="2025-01-01T00:00:00Z"), "after_creation_cutoff"), (record(id=17, photos=record()["photos"][:1]), "fewer_than_two_usable_photos"), (record(id=18, photos=None), "fewer_than_two_usable_photos"),
+        (record(id=20, photos=[photo(5), photo(5)]), "fewer_than_two_usable_photos"), (record(id=21, photos=[photo(5), photo(99)]), "fewer_than_two_usable_photos"),
+        (record(id=22, photos=[photo(5), photo(6) | {"license_code": "cc-by-nc"}]), "fewer_than_two_usable_photos"), (record(id=23, photos=[photo(5), photo(6) | {"url": "https://x.org/6/square.jpg"}]), "fewer_than_two_usable_photos"),
     ]
     with gzip.open(tmp_path / "p1.json.gz", "wt") as f:
         json.dump({"page": 1, "results": [c for c, _ in cases]}, f)
     rows = landing.pages(spark, str(tmp_path))
     old = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
-    got = landing.classified(rows, 5, "2024-06-01T00:00:00Z", old(77), old(88)).orderBy("place").collect()
+    got = landing.classified(rows, 5, "2024-06-01T00:00:00Z", old(77), old(88), old(99)).orderBy("place").collect()
+    below = landing.classified(rows.filter("id = 19"), 5, "2024-06-01T00:00:00Z", old(77), old(88), descendants=True).collect()
+    assert below[0].reason is None
     assert [r.reason for r in got] == [w for _, w in cases]
     assert [p.id for p in got[0].kept] == [2, 3, 4] and got[1].kept is None
     assert landing.page_stream(spark, str(tmp_path)).isStreaming
@@ -81,4 +88,10 @@ def test_metric_intervals(spark):
     got = {(r.f, r.metric): r for r in infer.metric_intervals(df, ["f"], "o", "label", ["a"], ["b0"], 200).collect()}
     mean = sum((g % 3) / 2 for g in range(24)) / 24
     assert got[0, "a"].estimate == pytest.approx(mean) and got[0, "a"].low <= mean <= got[0, "a"].high
+    # labels stay fixed: the macro interval is the one that influences give
+    rows = [(0, g, label, o, a, 0.0) for g, (label, o, a) in enumerate([(0, 0, 1.0), (0, 1, 0.0), (0, 2, 1.0), (0, 1, 1.0), (0, 0, 0.0), (0, 2, 1.0), (1, 0, 0.8)])]
+    few = spark.createDataFrame(rows, "f int, g int, label int, o int, a double, b0 double")
+    macro = next(r for r in infer.metric_intervals(few, ["f"], "o", "label", ["a"], ["b0"], 300, 4).collect() if r.metric == "macro_a")
+    plain = infer.cluster_interval(few, "a", "label", "o", ["f"], 300, 4).collect()[0]
+    assert (macro.estimate, macro.low, macro.high) == pytest.approx((plain.estimate, plain.low, plain.high))
     assert got[1, "a"].status == "NOT_ESTIMABLE" and got[0, "ece"].estimate == pytest.approx(sum(0.1 * (g % 5) for g in range(24)) / 24)

@@ -1,5 +1,6 @@
 """Operators on small frames with known answers, odd rows included."""
 
+import hashlib
 import itertools
 import math
 
@@ -114,7 +115,12 @@ def test_urls(spark):
     assert value(spark, urls.large_url(F.lit("https://static.example.org/p/1/square.jpg?7"), hosts)) == "https://static.example.org/p/1/large.jpg"
     assert value(spark, urls.large_url(F.lit("http://static.example.org/p/1/square.jpg"), hosts)) is None
     assert value(spark, urls.resized(F.lit("https://x.org/1/medium.jpeg?a=1"))) == "https://x.org/1/large.jpeg?a=1"
-    assert value(spark, urls.resized(F.lit("https://x.org/1/medium"), need_extension=False)) == "https://x.org/1/large"
+    assert value(spark, urls.resized(F.lit("https://x.org/1/medium."), need_extension=False)) == "https://x.org/1/large."
+    assert value(spark, urls.resized(F.lit("https://x.org/1/medium."))) is None and value(spark, urls.resized(F.lit("https://x.org/1/medium"), need_extension=False)) is None
+    assert value(spark, urls.resized(F.lit("https://x.org/1/original.jpg"))) is None
+    for leaf, want in [("small.webp", "large.webp"), ("original.JPG", "large.JPG"), ("square.", "large."), ("square", None), ("huge.jpg", None), ("small.tiff", None), ("small.jpg.png", None)]:
+        assert value(spark, urls.large_url(F.lit(f"https://static.example.org/p/1/{leaf}?x=1#y"), hosts)) == (want and f"https://static.example.org/p/1/{want}")
+    assert value(spark, urls.large_url(F.lit("https://other.org/p/1/small.jpg"), hosts)) is None
     assert value(spark, urls.resized(F.lit("https://x.org/1/huge.jpg"))) is None
     assert value(spark, urls.api_url("https://x.org/o", q=F.lit("a b"), page=F.lit(2))) == "https://x.org/o?q=a+b&page=2"
 
@@ -213,11 +219,23 @@ def test_cover_is_least():
         n = 7
         pairs = sorted({tuple(sorted(rng.choice(n, 2, replace=False).tolist())) for _ in range(9)})
         w = {i: int(rng.integers(1, 9)) for i in range(n) if any(i in p for p in pairs)}
-        chosen, exact = dedup.cover(pairs, w, 40)
+        chosen, exact = dedup.cover(pairs, w)
         best = min(sum(w[i] for i in s) for k in range(n + 1) for s in itertools.combinations(w, k) if all(set(p) & set(s) for p in pairs))
         assert exact and all(set(p) & chosen for p in pairs) and sum(w[i] for i in chosen) == best
 
 
+def test_cover_of_a_large_component_is_exact_or_said_not_to_be():
+    # a path of 300 vertices, and a ring of 60 with chords
+    path = [(i, i + 1) for i in range(299)]
+    chosen, exact = dedup.cover(path, dict.fromkeys(range(300), 1.0))
+    assert exact and len(chosen) == 150
+    ring = [tuple(sorted((i, (i + d) % 60))) for i in range(60) for d in (1, 2)]
+    chosen, exact = dedup.cover(sorted(set(ring)), dict.fromkeys(range(60), 1.0))
+    assert exact and len(chosen) == 40
+    chosen, exact = dedup.cover(sorted(set(ring)), dict.fromkeys(range(60), 1.0), 1)
+    assert not exact and all(set(p) & chosen for p in ring)
+
+
 def test_vertex_cover(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long")
     nodes = spark.createDataFrame([(i, 1.0) for i in (1, 2, 3, 7, 8)], "id long, weight double")
@@ -245,7 +263,13 @@ def test_signflip(spark):
         df = spark.createDataFrame([(0, x) for x in xs], "f int, x double")
         assert one(infer.signflip_exact(df, "x")).p == p and one(infer.signflip(df, "x", ["f"])).p == p
     many = spark.createDataFrame([(0, 1.0)] * 20, "f int, x double")
-    assert one(infer.signflip(many, "x", ["f"], 500)).p == pytest.approx(1 / 501)
+    r = one(infer.signflip(many, "x", ["f"], 500))
+    assert r.p == pytest.approx(1 / 501) and r.error == pytest.approx(math.sqrt(r.p * (1 - r.p) / 501))
+    rng = np.random.default_rng(3)
+    some = spark.createDataFrame([(0, float(v)) for v in rng.normal(0.3, 1, 13)], "f int, x double")
+    xs = np.array([v.x for v in some.collect()])
+    signs = 1 - 2 * ((np.arange(1 << 13)[:, None] >> np.arange(13)) & 1)
+    assert one(infer.signflip(some, "x", ["f"])).p == pytest.approx((np.abs(signs @ xs) >= abs(xs.sum()) - 1e-12).mean())
 
 
 def test_cluster_interval(spark):
@@ -258,6 +282,41 @@ def test_cluster_interval(spark):
     assert again[0].low == pytest.approx(got[0].low)
 
 
+def test_label_interval(spark):
+    rows = [(0, i % 6, float(i % 6) + (i % 2)) for i in range(60)] + [(1, 0, 2.0), (1, 1, 2.0)]
+    df = spark.createDataFrame(rows, "f int, label int, x double")
+    got = {r.f: r for r in infer.label_interval(df, "x", "label", ["f"], 400, 2).collect()}
+    assert got[0].labels == 6 and got[0].estimate == pytest.approx(3.0) and 1 < got[0].low < 3 < got[0].high < 5
+    assert got[1].low == got[1].high == 2.0
+
+
+def test_influence_equals_its_definition(spark):
+    rows = [(o % 7, o % 3, float((o * 5) % 11)) for o in range(40)]
+    df = spark.createDataFrame(rows, "o int, label int, x double")
+    means = {k: np.mean([x for _, label, x in rows if label == k]) for k in range(3)}
+    n = {k: sum(label == k for _, label, _ in rows) for k in range(3)}
+    want = {o: sum((x - means[k]) / n[k] / 3 for p, k, x in rows if p == o) for o in range(7)}
+    assert {r.o: r.influence for r in infer.influence(df, "x", "label", "o").collect()} == pytest.approx(want)
+
+
+def test_budget_plan_keeps_order_unless_it_cuts(spark):
+    g = spark.createDataFrame([(1, [30, 10, 20]), (2, [1, 2, 3, 4])], "g long, ids array<long>")
+    key = lambda *x: hashlib.sha256("|".join(map(str, (5, *x))).encode()).hexdigest()[:16]
+    got = [tuple(r) for r in subsets.budget_plan(g, "g", [2], 5, 4).orderBy("g", "replicate").collect()]
+    assert got[:3] == [(1, 2, k, f"{a};{b}", key(1, 2, a, b)) for k, (a, b) in enumerate([(10, 20), (10, 30), (20, 30)])]
+    cut = sorted(itertools.combinations((1, 2, 3, 4), 2), key=lambda s: key(2, 2, *s))[:4]
+    assert [r[3] for r in got[3:]] == [f"{a};{b}" for a, b in cut]
+    with pytest.raises(Exception, match="more than 12"):
+        subsets.budget_plan(spark.createDataFrame([(1, list(range(13)))], "g long, ids array<long>"), "g", [2], 5).collect()
+
+
+def test_pooled_subsets_equal_the_plain_form(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(g, [(i, rng.random(3).tolist()) for i in range(2 + g % 4)]) for g in range(12)], "g long, photos array<struct<id: long, p: array<double>>>")
+    plain = {(r.g, r["mask"]): r.p for r in subsets.pooled(subsets.with_subsets(df), 3, 9).collect()}
+    assert {(r.g, r["mask"]): r.p for r in subsets.pooled_subsets(df, 3, 9).collect()} == plain
+
+
 def test_contributions_add_up(spark):
     df = spark.createDataFrame([(o, o % 3, float(o)) for o in range(10)], "o int, label int, x double")
     assert one(infer.contributions(df, "x", "label", "o").agg(F.sum("contribution").alias("s"))).s == pytest.approx(one(infer.macro_mean(df, "x", "label")).estimate)
@@ -396,12 +455,64 @@ def test_writers_do_not_overwrite(spark, tmp_path):
 # Aggregators and intake
 
 
+def test_several_matrices_need_their_names(spark, tmp_path):
+    for name, x in (("a", [[1.0, 2.0], [3.0, 4.0]]), ("b", [[5.0, 6.0], [7.0, 8.0]])):
+        np.save(tmp_path / f"{name}.npy", np.array(x, np.float32))
+    index = spark.createDataFrame([(7, "a.npy", 1), (8, "b.npy", 1)], "photo_id long, matrix string, feature_row long")
+    got = {r.photo_id: r.feature for r in readers.feature_matrix(spark, str(tmp_path / "*.npy"), index, "photo_id").collect()}
+    assert got == {7: [3.0, 4.0], 8: [7.0, 8.0]}
+    with pytest.raises(ValueError):
+        readers.feature_matrix(spark, str(tmp_path / "*.npy"), index.drop("matrix"), "photo_id")
+    bad = spark.createDataFrame([(7, 0), (7, 5)], "photo_id long, feature_row long")
+    assert {r.gate for r in readers.index_faults(bad, 3, "photo_id").collect()} == {"unique_photo_id", "feature_row_outside", "index_length"}
+
+
+def test_rival_model_follows_its_formula(spark):
+    rng = np.random.default_rng(6)
+    w = {k: rng.normal(size=s) for k, s in {"weight": (4, 5), "bias": 4, "norm_weight": 5, "norm_bias": 5, "hidden_weight": (6, 5), "hidden_bias": 6, "out_weight": (1, 6), "out_bias": 1}.items()}
+    w |= {"scale": 1.0, "gate": -2.0, "rivals": 2}
+    x = rng.normal(size=(3, 5))
+    logits = x @ w["weight"].T + w["bias"]
+    order = np.argsort(-logits.mean(0), kind="stable")
+    z = (x - x.mean(1, keepdims=True)) / np.sqrt(x.var(1, keepdims=True) + 1e-5) * w["norm_weight"] + w["norm_bias"]
+    h = z @ w["hidden_weight"].T + w["hidden_bias"]
+    h = h * 0.5 * (1 + np.vectorize(math.erf)(h / math.sqrt(2)))
+    reliable = (h @ w["out_weight"].T + w["out_bias"])[:, 0]
+    taken = []
+    for k in order[1:3]:
+        d = w["weight"][order[0]] - w["weight"][k]
+        s = reliable + (x - x.mean(0)) @ (d / np.linalg.norm(d))
+        e = np.exp(s - s.max())
+        taken.append((e / e.sum()) @ x)
+    e = np.exp(logits.mean(0)[order[1:3]])
+    selected = (e / e.sum()) @ np.array(taken)
+    mixed = x.mean(0) + (selected - x.mean(0)) / (1 + math.exp(2))
+    assert np.allclose(aggregators.rival_conditioned(x, w), mixed @ w["weight"].T + w["bias"])
+    one_view = aggregators.rival_conditioned(x[:1], w)
+    assert np.allclose(one_view, x[0] @ w["weight"].T + w["bias"])
+    df = spark.createDataFrame([(1, x.tolist()), (2, x[::-1].tolist()), (3, x[:2].tolist())], "g long, f array<array<double>>")
+    got = {r.g: r.probabilities for r in aggregators.classify(df, "g", "f", "rival_conditioned", w).collect()}
+    assert np.allclose(got[1], got[2]) and np.isclose(sum(got[3]), 1)
+
+
+def test_detector_proxies(spark):
+    gray = np.add.outer(np.arange(4.0), np.zeros(4)).ravel().tolist()
+    rows = [(1, [[0.0, 0.0, 4.0, 2.0], [0.0, 0.0, 8.0, 8.0]], [0.9, 0.4], [16, 16], 8, 4, gray), (2, [[0.0, 0.0, 9.0, 9.0]], [0.9], [3], 8, 4, gray), (3, [], [], [], 8, 4, gray), (4, [[-1.0, -1.0, 9.0, 9.0]], [0.7], [16], 8, 4, gray)]
+    df = spark.createDataFrame(rows, "id long, boxes array<array<double>>, scores array<double>, labels array<int>, width int, height int, gray array<double>")
+    got = {r.id: r for r in dedup.detector_proxies(df.withColumn("rows", F.lit(4)), "id").collect()}
+    assert (got[1]["detections"], got[1].score, got[1].area) == (1, 0.9, 0.25) and got[1].background == pytest.approx(1.0)
+    assert got[2]["detections"] == got[3]["detections"] == 0 and got[2].area is None and got[3].score is None and got[3].background is None
+    assert got[4].area == 1.0 and got[4].background is None
+
+
 def test_models_do_not_depend_on_order(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((3, 4))
     w = {"weight": rng.standard_normal((2, 4)), "bias": np.zeros(2)}
     deep = {"phi_weight": rng.standard_normal((5, 4)), "phi_bias": np.zeros(5), "rho_weight": rng.standard_normal((6, 5)), "rho_bias": np.zeros(6), "weight": rng.standard_normal((2, 6)), "bias": np.zeros(2)}
     for name, f in aggregators.MODELS.items():
+        if name == "rival_conditioned":
+            continue  # has a test of its own
         ws = deep if name == "deep_sets" else w
         assert f(x, ws) == pytest.approx(f(x[::-1], ws))
     df = spark.createDataFrame([(1, x.tolist())], "g long, v array<array<double>>")
