@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import urls
 
 
-
 def stable_hex(*parts: Column, separator: str = "|") -> Column:
     """First 16 hex digits of the SHA-256 of the joined parts; orders as the unsigned number does. Nulls are joined as empty."""
     text = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
@@ -80,9 +81,14 @@ def single_precision(x: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("a value is not finite")).cast("float")).otherwise(x.cast("float"))
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, with x computed once a row and not once for each place at which a lambda names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def softmax(v: Column) -> Column:
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m)))
+    return let(let(v, shifted), lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def total(v: Column) -> Column:

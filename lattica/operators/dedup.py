@@ -228,18 +228,23 @@ def hash_images(images: DataFrame, key: str, larger_right: bool = True) -> DataF
     return images.select(key, hashed("pixels", "width", "height").alias("hash"))
 
 
+#: Grey shares up to and from which a pixel is dark or bright.
+DARK, BRIGHT = 0.05, 0.95
+
+
 def image_proxies(images: DataFrame, key: str) -> DataFrame:
-    """key, focus (variance of the Laplacian), dark, bright (shares), energy (mean squared gradient) of grey images as above."""
+    """key, focus (variance of the Laplacian), dark, bright (shares), energy (mean squared gradient) and anisotropy (0 to 1: how far gradients have one direction) of grey images as above, of 0 to 255; bring them to one size first."""
 
-    @F.pandas_udf("focus double, dark double, bright double, energy double")
+    @F.pandas_udf("focus double, dark double, bright double, energy double, anisotropy double")
     def measured(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
         out = []
         for p, w, h in zip(pixels, width, height, strict=True):
-            x = np.asarray(p, np.float64).reshape(int(h), int(w))
-            lap = x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]
-            gy, gx = np.gradient(x)
-            out.append((float(lap.var()) if lap.size else 0.0, float((x < 32).mean()), float((x > 223).mean()), float((gx**2 + gy**2).mean())))
-        return pd.DataFrame(out, columns=["focus", "dark", "bright", "energy"])
+            x = np.asarray(p, np.float64).reshape(int(h), int(w)) / 255
+            inner = x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]
+            down, right = np.gradient(x)
+            a, b, c = (down**2).mean(), (right**2).mean(), (down * right).mean()
+            out.append((float(inner.var()) if inner.size else 0.0, float((x <= DARK).mean()), float((x >= BRIGHT).mean()), float(a + b), float(np.hypot(a - b, 2 * c) / (a + b + 1e-12))))
+        return pd.DataFrame(out, columns=["focus", "dark", "bright", "energy", "anisotropy"])
 
     return images.select(key, measured("pixels", "width", "height").alias("m")).select(key, "m.*")
 
