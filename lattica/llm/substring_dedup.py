@@ -11,9 +11,9 @@ and a suffix that stands alone leaves the sort:
 2. Runs of one digit with equal bytes in two places are repeated as a whole; of each
    distinct content one run goes on, and only if its digit has another content.
 3. Within a digit the remaining windows are sorted by five digits of 40 bytes, most
-   significant first, in bounded batches. A digit with more than `most` windows, which
-   a very common passage brings about, is not gathered in one task: its windows become
-   rows and are grouped by all digits at once, with partial counts.
+   significant first, in bounded batches. A digit whose contents have more than `most`
+   bytes, which a very common passage brings about, is not gathered in one task: its
+   windows become rows and are grouped by all digits at once, with partial counts.
 
 Digits are 64-bit fingerprints. Documents are joined by the two 64-bit hashes of their
 text, so copies are sorted once; a text that has a copy is repeated as a whole.
@@ -29,15 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, map_arrow, table, written
+from .common import as_bytes, blocks, discard, map_arrow, table, written
 
 LENGTH = 200
 GRAM = 40
-#: Windows of one digit's contents up to which a task gathers them.
-MOST = 2_000_000
+#: Bytes of one digit's contents up to which a task gathers them.
+MOST = 2 << 20
 #: Bytes of text that are worked on at once.
 SEGMENT = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -247,19 +247,22 @@ def counted_windows(parts: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """k1, k2 (a text's key), copied (the text has a copy), spans: array of (a, b) byte ranges, unmerged. docs: text, rid."""
-    runs = all_runs(docs, length)
-    by_digit, by_content = Window.partitionBy("digit"), Window.partitionBy("digit", "content")
-    # all runs of a digit are in one partition: what is alone leaves without another exchange
-    place = F.xxhash64("k1", "k2", "start")
-    seen = runs.repartition("digit").withColumn("place", place)
-    seen = seen.withColumns({"first": F.min("place").over(by_content), "last": F.max("place").over(by_content), "low": F.min("content").over(by_digit), "high": F.max("content").over(by_digit), "again": F.max("again").over(by_content)})
-    seen = seen.withColumns({"whole": F.col("first") != F.col("last"), "several": F.col("low") != F.col("high")})
-    seen = seen.filter("whole OR several OR again").withColumn("shown", F.col("place") == F.col("first"))
-    seen = written(seen.select("k1", "k2", "rid", "start", "n", "digit", "content", "whole", "shown", F.expr("several OR (again AND NOT whole)").alias("open")), "runs")
-    # contents that go on, with the number of their digit
+    runs = written(all_runs(docs, length).withColumn("place", F.xxhash64("k1", "k2", "start")), "runs")
+    # what is alone leaves: digits are counted by partial sums, so a digit that many runs have is no task
+    digits = runs.groupBy("digit").agg(F.count("*").alias("c"), F.max("again").alias("again")).filter("c > 1 OR again").select("digit")
+    left = written(runs.join(written(digits, "digits"), "digit"), "left")
+    contents = left.groupBy("digit", "content").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("again").alias("again"))
+    contents = written(contents.select("digit", "content", "first", (F.col("first") != F.col("last")).alias("whole"), "again"), "contents")
+    several = contents.groupBy("digit").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("digit", F.lit(True).alias("several"))
+    facts = contents.join(written(several, "several"), "digit", "left").withColumn("open", F.coalesce("several", F.lit(False)) | (F.col("again") & ~F.col("whole")))
+    facts = written(facts.filter("whole OR open").select("digit", "content", "first", "whole", "open"), "facts")
+    seen = left.join(facts, ["digit", "content"]).withColumn("shown", F.col("place") == F.col("first"))
+    seen = written(seen.select("k1", "k2", "rid", "start", "n", "digit", "content", "whole", "shown", "open"), "seen")
+    discard(runs, left)
+    # contents that go on, with the bytes of their digit
     going = seen.filter("open AND shown").select("digit", "content", "k1", "k2", "rid", "start", "n")
     # (a table of its own, so that the join below deals both sides and a hot digit can be split)
-    crowd = going.groupBy("digit").agg(F.sum("n").alias("windows")).filter(F.col("windows") > most)
+    crowd = going.groupBy("digit").agg(F.sum(F.col("n") + length - 1).alias("bytes")).filter(F.col("bytes") > most)
     crowd = written(crowd.select("digit", F.lit(True).alias("many")), "crowd")
     wanted = going.groupBy("rid", "k1", "k2").agg(F.collect_set(F.struct("start", "n", "digit", "content")).alias("wanted"))
     texts = docs.select("rid", *text_keys(), F.col("text").cast("binary").alias("data")).join(wanted, ["rid", "k1", "k2"])
