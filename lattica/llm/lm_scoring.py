@@ -9,10 +9,12 @@ others. Scores then use the counts of all training texts.
 
 Counts are exact, up to 64-bit hashes of n-grams, and cover the whole corpus. Documents
 are dealt by hash into chunks of bounded size; a chunk sends its distinct n-grams and
-their counts, packed and cut by ranges of the hash; a range sums what all chunks sent
-and answers each with the corpus counts in the order of its question; a chunk reads the
-answers beside its own texts. No table of n-grams is broadcast, and a frequent n-gram is
-one number a chunk. The statistics for the weights are counts of the rounded logarithms
+their counts, packed and cut by ranges of the hash; a node of the exchange sums what it
+hears of a range and answers each sender in the order of its question; a chunk reads the
+answers beside its own texts. Up to 256 chunks send to nodes that hear all of them; with
+more the exchange has levels (two up to 65,536 chunks, 780 GB; three up to 200 TB), each
+node hearing and sending to 256 others, so that messages grow with the chunks and not with
+their square. No table of n-grams is broadcast, and a frequent n-gram is one number a chunk. The statistics for the weights are counts of the rounded logarithms
 of the three estimates, so their table is bounded whatever the corpus.
 
 A null or empty text is one end token. A row in, a row out; rows with equal doc_id are
@@ -22,6 +24,7 @@ uniform one are 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, shared_dir, small_batches, table
+from .common import discard, id_remainder, small_batches, table, written
 
 CHUNK_BYTES = 12 << 20
+CHUNK_ROWS = 200_000
+#: Nodes that a node of the exchange hears and sends to.
+MOST_FAN = 256
 CONTEXT_BUCKETS = 40
 STEPS = 8  # cells of a logarithm a factor of e
 NONE = -1
@@ -97,74 +103,152 @@ def unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.dtype(x[:1].decode()).newbyteorder("<"), offset=1).astype(np.int64)
 
 
-def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where sorted 64-bit keys pass from one range to the next."""
-    edge = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
+QUESTION = "node long, src long, n int, keys binary, total binary, kept binary"
+ANSWER = "dst long, node long, n int, total binary, kept binary, sums array<long>"
 
 
-def asked(chunks: DataFrame, ranges: int) -> DataFrame:
-    """range, chunk, n (1 or 2), keys, counts (of the chunk's training tokens)."""
+def slices(keys: np.ndarray, low: int, parts: int, ranges: int) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys that fall into the ranges low to low + parts - 1 of `ranges` equal ones; those without keys are left out."""
+    edge = np.array([(i << 64) // ranges for i in range(low + 1, low + parts)], np.uint64)
+    cut = np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
+    for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        yield low + i, int(cut[i]), int(cut[i + 1])
+
+
+def rows_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)})
+
+
+def asked(chunks: DataFrame, fan: int, first_deleted: int) -> DataFrame:
+    """The questions of all chunks: a row a chunk, order (n) and range of the hash, with the counts of the chunk's training tokens, and of those that are not deleted."""
 
     def work(part: pa.Table) -> pa.Table:
         t = tokenise(part.column("text").to_pylist())
+        chunk = part.column("chunk")[0].as_py()
         train = part.column("train").to_numpy()[t.owner]
         starts = np.concatenate([[True], t.owner[1:] != t.owner[:-1]]) if len(t.owner) else np.zeros(0, bool)
         counts = np.bincount(t.token[train], minlength=len(t.keys[0]))
         counts += np.bincount(t.context[train & starts], minlength=len(counts))  # BEGIN, once a text
-        out: dict[str, list] = {"range": [], "chunk": [], "n": [], "keys": [], "counts": []}
+        rows = []
         for n, keys, c in ((1, t.keys[0], counts), (2, t.keys[1], np.bincount(t.bigram[train], minlength=len(t.keys[1])))):
-            edge = cuts(keys, ranges)
-            for r in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-                a, b = edge[r], edge[r + 1]
-                for name, v in zip(out, (r, part.column("chunk")[0].as_py(), n, keys[a:b].astype("<u8").tobytes(), packed(c[a:b])), strict=True):
-                    out[name].append(v)
-        return pa.table({"range": pa.array(out["range"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int64()), "n": pa.array(out["n"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+            for r, a, b in slices(keys, 0, fan, fan):
+                rows.append((chunk // fan * fan + r, chunk, n, keys[a:b].astype("<u8").tobytes(), packed(c[a:b]), packed(c[a:b]) if chunk < first_deleted else None))
+        return rows_of(rows, QUESTION)
 
-    return chunks.groupBy("chunk").applyInArrow(work, "range int, chunk long, n int, keys binary, counts binary")
+    return chunks.groupBy("chunk").applyInArrow(work, QUESTION)
 
 
-ANSWER = "chunk long, range int, n int, counts binary, kept binary, total long, total_kept long, kinds long, kinds_kept long"
+@dataclass
+class Merged:
+    """What a node was asked in one order: distinct keys with their sums, and each sender's places among them."""
+
+    n: int
+    keys: np.ndarray
+    total: np.ndarray
+    kept: np.ndarray
+    senders: list[tuple[int, np.ndarray]]
+
+
+def merged(part: pa.Table) -> list[Merged]:
+    src, ns = part.column("src").to_pylist(), part.column("n").to_pylist()
+    keys, total, kept = (part.column(c).to_pylist() for c in ("keys", "total", "kept"))
+    out = []
+    for n in (1, 2):
+        at = sorted((i for i, x in enumerate(ns) if x == n), key=lambda i: src[i])
+        if not at:
+            continue
+        each = [np.frombuffer(keys[i], "<u8") for i in at]
+        distinct, back = np.unique(np.concatenate(each), return_inverse=True)
+        summed = lambda xs: np.bincount(back, np.concatenate(xs), len(distinct)).astype(np.int64)  # noqa: E731, B023
+        ends = np.cumsum([len(x) for x in each])
+        places = np.split(back, ends[:-1])
+        out.append(Merged(n, distinct, summed([unpacked(total[i]) for i in at]), summed([unpacked(kept[i]) if kept[i] else np.zeros(len(x)) for i, x in zip(at, each, strict=True)]), [(src[i], p) for i, p in zip(at, places, strict=True)]))
+    return out
 
 
-def answered(questions: DataFrame) -> DataFrame:
-    """For each question the corpus counts of its keys; chunks of deleted texts (negative numbers) get those without deleted texts too. A row without chunk holds the range's sums."""
+def passed_on(questions: DataFrame, level: int, fan: int) -> DataFrame:
+    """The questions of the next level: a node's sums by finer ranges of the hash, to the nodes that hear `fan` of its like."""
+    ranges = fan**level
 
     def work(part: pa.Table) -> pa.Table:
-        chunks, ns = part.column("chunk").to_pylist(), part.column("n").to_pylist()
-        keys, counts = part.column("keys").to_pylist(), part.column("counts").to_pylist()
-        rows, r = [], part.column("range")[0].as_py()
-        for n in (1, 2):
-            at = [i for i, x in enumerate(ns) if x == n]
-            if not at:
-                continue
-            every = [np.frombuffer(keys[i], "<u8") for i in at]
-            c = [unpacked(counts[i]) for i in at]
-            distinct, back = np.unique(np.concatenate(every), return_inverse=True)
-            total = np.bincount(back, np.concatenate(c), len(distinct)).astype(np.int64)
-            kept = np.bincount(back, np.concatenate([x if chunks[i] >= 0 else np.zeros_like(x) for i, x in zip(at, c, strict=True)]), len(distinct)).astype(np.int64)
-            end = 0
-            for i, k in zip(at, every, strict=True):
-                mine = back[end : end + len(k)]
-                end += len(k)
-                rows.append((chunks[i], r, n, packed(total[mine]), packed(kept[mine]) if chunks[i] < 0 else None, None, None, None, None))
-            if n == 1:
-                word = distinct != BEGIN
-                rows.append((None, r, n, None, None, int(total[word].sum()), int(kept[word].sum()), int((total[word] > 0).sum()), int((kept[word] > 0).sum())))
-        names = [x.split()[0] for x in ANSWER.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table({name: pa.array([x[i] for x in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))})
-
-    return questions.groupBy("range").applyInArrow(work, ANSWER)
+        node = part.column("node")[0].as_py()
+        group, r = divmod(node, ranges)
+        rows = []
+        for m in merged(part):
+            for sub, a, b in slices(m.keys, r * fan, fan, ranges * fan):
+                rows.append((group // fan * ranges * fan + sub, node, m.n, m.keys[a:b].tobytes(), packed(m.total[a:b]), packed(m.kept[a:b])))
+        return rows_of(rows, QUESTION)
 
+    return questions.groupBy("node").applyInArrow(work, QUESTION)
 
-def estimates(t: Tokens, answers: pa.Table, column: str, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token counts, context counts, bigram's estimate, token's estimate) of each token."""
+
+def replies(node: int, m: Merged, total: np.ndarray, kept: np.ndarray, all_kept: bool, first_deleted: int) -> list[tuple]:
+    """An answer to each sender, in the order of its question; who is no deleted chunk needs no counts without deleted texts."""
+    return [(src, node, m.n, packed(total[p]), packed(kept[p]) if all_kept or src >= first_deleted else None, None) for src, p in m.senders]
+
+
+def answered(questions: DataFrame, level: int, first_deleted: int) -> DataFrame:
+    """The last level's answers: nodes there hear of all chunks. A row without dst holds sums over a node's tokens: total, kept, kinds in both."""
+
+    def work(part: pa.Table) -> pa.Table:
+        node, rows = part.column("node")[0].as_py(), []
+        for m in merged(part):
+            rows += replies(node, m, m.total, m.kept, level > 1, first_deleted)
+            if m.n == 1:
+                word = m.keys != BEGIN
+                rows.append((None, node, 1, None, None, [int(m.total[word].sum()), int(m.kept[word].sum()), int((m.total[word] > 0).sum()), int((m.kept[word] > 0).sum())]))
+        return rows_of(rows, ANSWER)
+
+    return questions.groupBy("node").applyInArrow(work, ANSWER)
+
+
+def handed_back(questions: DataFrame, answers: DataFrame, level: int, first_deleted: int) -> DataFrame:
+    """A level's answers from those of the next one."""
+
+    def work(key: tuple, part: pa.Table, found: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return rows_of([], ANSWER)
+        node, rows = part.column("node")[0].as_py(), []
+        for m in merged(part):
+            rows += replies(node, m, in_order(found, "total")[m.n], in_order(found, "kept")[m.n], level > 1, first_deleted)
+        return rows_of(rows, ANSWER)
+
+    return questions.groupBy("node").cogroup(answers.filter("dst IS NOT NULL").groupBy("dst")).applyInArrow(work, ANSWER)
+
+
+def in_order(answers: pa.Table, column: str) -> dict[int, np.ndarray]:
+    """Counts by order, one range after the other: the nodes that answer one asker are numbered by range."""
     found = {1: [], 2: []}
-    for r, n, c in sorted(zip(answers.column("range").to_pylist(), answers.column("n").to_pylist(), answers.column(column).to_pylist(), strict=True), key=lambda x: x[:2]):
+    for _, n, c in sorted(zip(answers.column("node").to_pylist(), answers.column("n").to_pylist(), answers.column(column).to_pylist(), strict=True), key=lambda x: x[:2]):
         found[n].append(unpacked(c))
-    one, two = (np.concatenate(found[n]) if found[n] else np.zeros(0, np.int64) for n in (1, 2))
-    c, context, pair = one[t.token], one[t.context], two[t.bigram]
+    return {n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in found.items()}
+
+
+def corpus_counts(chunks: DataFrame, n_chunks: int, first_deleted: int, most_fan: int) -> tuple[DataFrame, list[int]]:
+    """(answers to every chunk, the sums of total, kept, kinds and kinds_kept). With up to most_fan chunks there is one level; otherwise a node of level l hears most_fan nodes of the level before and sends to as many, so that rows grow with the chunks and not with their square."""
+    fan, levels = max(2, min(most_fan, n_chunks)), 1
+    while fan**levels < n_chunks:
+        levels += 1
+    question = asked(chunks, fan, first_deleted)
+    held = []
+    for level in range(1, levels):
+        held.append(written(question, "questions"))
+        question = passed_on(held[-1], level, fan)
+    answers = written(answered(question, levels, first_deleted), "answers")
+    sums = answers.filter("dst IS NULL").agg(*[F.coalesce(F.sum(F.get("sums", F.lit(i))), F.lit(0)) for i in range(4)]).first()
+    for level in range(levels - 1, 0, -1):
+        lower = written(handed_back(held[level - 1], answers, level, first_deleted), "answers")
+        discard(answers, held[level - 1])
+        answers = lower
+    return answers.filter("dst IS NOT NULL"), list(sums)
+
+
+def estimates(t: Tokens, answers: pa.Table, column: str, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token counts, context counts, bigram's estimate, token's estimate) of each token."""
+    found = in_order(answers, column)
+    c, context, pair = found[1][t.token], found[1][t.context], found[2][t.bigram]
     return c, context, pair / np.maximum(context, 1), c / max(1, total)
 
 
@@ -198,22 +282,18 @@ def mixture(cells: list[tuple[int, int, int, int]], rounds: int = 40) -> np.ndar
     return out
 
 
-def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, most_fan: int = MOST_FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows whose held_out is false. docs: doc_id, text, held_out, deleted."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // chunk_bytes))
+    size, count = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(1, -(-(size or 0) // chunk_bytes), -(-count // CHUNK_ROWS))
     n_deleted = max(1, -(-n // 10))
-    draw = F.xxhash64("doc_id", "text")
-    chunk = F.when(F.col("deleted"), -1 - F.pmod(draw, F.lit(n_deleted))).otherwise(F.pmod(draw, F.lit(n)))
+    draw = F.xxhash64("doc_id", "text")  # every pass must deal a row alike, so rows that repeat id and text share a chunk
+    chunk = F.when(F.col("deleted"), n + F.pmod(draw, F.lit(n_deleted))).otherwise(F.pmod(draw, F.lit(n)))
     chunks = docs.select("doc_id", "text", "held_out", (~F.col("held_out")).alias("train"), chunk.cast("long").alias("chunk"))
-    path = shared_dir(spark, "ngrams")
-    answered(asked(chunks, n)).write.parquet(path)
-    answers = spark.read.schema(ANSWER).parquet(path)
-    sums = answers.filter("chunk IS NULL").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "total_kept", "kinds", "kinds_kept")]).first()
-    total, total_kept, kinds, kinds_kept = sums
+    answers, (total, total_kept, kinds, kinds_kept) = corpus_counts(chunks, n + n_deleted, n, most_fan)
 
     def cells(key: tuple, part: pa.Table, found: pa.Table) -> pa.Table:
         t = tokenise(part.column("text").to_pylist())
@@ -222,13 +302,13 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         rows, count = np.unique(np.stack([bucket(context), *logs], 1), axis=0, return_counts=True)
         return pa.table({"bucket": rows[:, 0], "p2": rows[:, 1], "p1": rows[:, 2], "n": count})
 
-    both = chunks.filter("chunk < 0").groupBy("chunk").cogroup(answers.filter("chunk < 0").groupBy("chunk"))
+    both = chunks.filter(F.col("chunk") >= n).groupBy("chunk").cogroup(answers.filter(F.col("dst") >= n).groupBy("dst"))
     seen = both.applyInArrow(cells, "bucket long, p2 long, p1 long, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).collect()
     weights = mixture(sorted(tuple(r) for r in seen))
 
     def score(key: tuple, part: pa.Table, found: pa.Table) -> pa.Table:
         t = tokenise(part.column("text").to_pylist())
-        c, context, p2, p1 = estimates(t, found, "counts", total)
+        c, context, p2, p1 = estimates(t, found, "total", total)
         w = weights[bucket(context)]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (kinds + 1)
         add = lambda x: np.bincount(t.owner, x, part.num_rows)
@@ -238,7 +318,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             "n_known": add(c > 0).astype(np.int64), "train_tokens": np.full(part.num_rows, total), "base_score": base, "score": add(np.log10(p)),
         })
 
-    pairs = chunks.groupBy("chunk").cogroup(answers.filter("chunk IS NOT NULL").groupBy("chunk"))
+    pairs = chunks.groupBy("chunk").cogroup(answers.groupBy("dst"))
     return pairs.applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -321,10 +321,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(warc.write_archive(pages.limit(0), str(tmp_path / "c")), str(tmp_path / "c")).count() == 0
 
 
-def test_language_model(spark, rows):
+@pytest.mark.parametrize("most_fan", [256, 3])
+def test_language_model(spark, rows, most_fan):
     docs = frame(spark, rows)
     rest = id_remainder(F.col("doc_id"), 10)
-    got = lm_scoring.score_texts(docs.select("doc_id", "text", (rest == 0).alias("held_out"), (rest == 1).alias("deleted")), chunk_bytes=20_000).collect()
+    got = lm_scoring.score_texts(docs.select("doc_id", "text", (rest == 0).alias("held_out"), (rest == 1).alias("deleted")), chunk_bytes=20_000, most_fan=most_fan).collect()
     end = object()
     tokens = [((t or "").encode().lower().split() + [end], zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0, i) for i, t, _ in rows]
     c = Counter(x for ws, held, _ in tokens if not held for x in ws)
