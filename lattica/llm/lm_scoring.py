@@ -325,3 +325,20 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, most_fan: int =
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = id_remainder(F.col("doc_id"), 10)
     return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text", (rest == 0).alias("held_out"), (rest == 1).alias("deleted")))
+
+
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express too."""
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+#: The inner lists are a checksum of the id's digits, bit by bit.
+LM_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+ xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 10 = 0 AS held_out FROM documents),
+t AS (SELECT rid, doc_id, held_out, unnest(list_append(list_transform(ws, lambda x: 'w' || x), 'end')) AS token FROM (SELECT row_number() OVER () AS rid, * FROM d)),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token), s AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (token), s GROUP BY rid, doc_id, held_out, n
+"""

@@ -315,3 +315,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs by plain similarity; the alignment asks for the same order besides.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, text AS t, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS f FROM documents),
+v AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN len(f) > 0 THEN f ELSE regexp_extract_all(coalesce(t, ''), '[^\x20\x09-\x0D]+') END AS ws FROM w),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS x FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM v WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE o >= 0.8 * (x.n + y.n - o) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT rid, rid AS root FROM v UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.rid),
+m AS (SELECT rid, min(root) AS root FROM c GROUP BY rid)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id FROM v JOIN m USING (rid)
+"""

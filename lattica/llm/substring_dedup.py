@@ -318,3 +318,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
     return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, hash(b[i:i + 199]) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+m AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM m),
+s AS (SELECT rid, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY rid, g),
+e AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS before FROM s),
+k AS (SELECT rid, before AS a, a AS z FROM e UNION ALL SELECT rid, max(z), NULL FROM s GROUP BY rid UNION ALL SELECT rid, 1, NULL FROM d WHERE rid NOT IN (SELECT rid FROM s)),
+kept AS (SELECT rid, unhex(string_agg(hex(b[k.a:coalesce(k.z - 1, octet_length(b))]), '' ORDER BY k.a)) AS rest FROM k JOIN d USING (rid) WHERE k.a < coalesce(k.z, octet_length(b) + 1) GROUP BY rid),
+t AS (SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(rest, ''::BLOB)) AS kept_sha256
+FROM d LEFT JOIN t USING (rid) LEFT JOIN kept USING (rid)
+"""
