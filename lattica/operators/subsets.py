@@ -63,7 +63,7 @@ def budget_plan(groups: DataFrame, key: str, budgets: list[int], seed: int, most
     by_key = F.transform(F.slice(F.array_sort("named"), 1, most or 1), lambda s: F.struct(s["ids"].alias("ids"), s["subset_key"].alias("subset_key")))
     kept = F.when(F.size("named") <= most, in_order).otherwise(by_key) if most else in_order
     plan = each.withColumn("named", named).select(key, "budget", F.posexplode(kept).alias("replicate", "s"))
-    return plan.select(key, "budget", "replicate", text(F.col("s.ids"), ";").alias("photo_ids"), "s.subset_key")
+    return plan.select(key, "budget", "replicate", text(F.col("s.ids"), ";").alias("photo_ids"), F.conv("s.subset_key", 16, 10).cast("decimal(20,0)").alias("subset_key"))
 
 
 def coverage_faults(records: DataFrame, groups: DataFrame, key: str) -> DataFrame:

@@ -247,11 +247,11 @@ def seed_dispersion(spark, sf_dir):
 
 @query(f"""WITH {POOLED_SQL}, ids AS (SELECT g, k, mask, (SELECT string_agg((g * 100 + b)::VARCHAR, ';' ORDER BY b) FROM range(5) t(b) WHERE (mask >> b) & 1 = 1) AS photo_ids FROM sc),
 h AS (SELECT *, substr(sha256('17|' || g || '|' || k || '|' || replace(photo_ids, ';', '|')), 1, 16) AS subset_key FROM ids)
-SELECT g, k AS budget, CASE WHEN count(*) OVER (PARTITION BY g, k) <= 4 THEN row_number() OVER (PARTITION BY g, k ORDER BY photo_ids) ELSE row_number() OVER (PARTITION BY g, k ORDER BY subset_key) END - 1 AS replicate, photo_ids, subset_key FROM h QUALIFY replicate < 4""")
+SELECT g, k AS budget, CASE WHEN count(*) OVER (PARTITION BY g, k) <= 4 THEN row_number() OVER (PARTITION BY g, k ORDER BY photo_ids) ELSE row_number() OVER (PARTITION BY g, k ORDER BY subset_key) END - 1 AS replicate, photo_ids, ('0x' || subset_key)::UBIGINT::VARCHAR AS subset_key FROM h QUALIFY replicate < 4""")
 def capped_budget_plan(spark, sf_dir):
     """At most four subsets of each size, by stable key where there are more."""
     ids = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("g") * 100 + i)
-    return B.budget_plan(groups(spark, sf_dir).select("g", ids.alias("ids")), "g", [1, 2, 3, 4, 5], 17, 4)
+    return B.budget_plan(groups(spark, sf_dir).select("g", ids.alias("ids")), "g", [1, 2, 3, 4, 5], 17, 4).withColumn("subset_key", F.col("subset_key").cast("string"))
 
 
 @query(f"""WITH {POOLED_SQL} SELECT g, mask, 0::BIGINT AS times, true AS known FROM sc WHERE g % 7 = 0 AND mask = 2 UNION ALL SELECT g, mask, 2::BIGINT, true FROM sc WHERE g % 7 = 1 AND mask = 1""")

@@ -157,6 +157,14 @@ def metric_intervals(spark, sf_dir):
     return infer.metric_intervals(c, ["k"], "observer", "label", means, bins, 500, 3)
 
 
+@query("""SELECT s.taxon, true AS within, 14 AS total, true AS one_a_nation FROM (SELECT dense_rank() OVER (ORDER BY c_mktsegment) AS taxon FROM customer) s GROUP BY s.taxon""")
+def selection_bounds(spark, sf_dir):
+    """Whether the selection below keeps its bounds a segment, its total and its capacity a nation."""
+    chosen = flow_selection(spark, sf_dir)
+    total = chosen.agg(F.count("*").cast("int").alias("total"), (F.count_distinct("observer") == F.count("*")).alias("one_a_nation"))
+    return chosen.groupBy("taxon").agg(F.count("*").between(2, 4).alias("within")).crossJoin(total)  # one row
+
+
 @query()
 def flow_selection(spark, sf_dir):
     """Groups of customers chosen under bounds a segment and one a nation, at least cost."""
@@ -165,8 +173,21 @@ def flow_selection(spark, sf_dir):
     return select.bounded_selection(c, {t: 2 for t in n}, n, 14, 1, 3)
 
 
+@query("""WITH o AS (SELECT o_custkey AS observer, substr(o_orderpriority, 1, 1)::BIGINT AS taxon FROM orders) SELECT taxon, count(*) AS groups, count(DISTINCT observer) AS observers, 3::BIGINT AS splits, true AS near FROM o GROUP BY taxon""")
+def split_coverage(spark, sf_dir):
+    """Whether the split below places every customer once, puts every priority into each split and comes near the wanted shares (within three in a hundred)."""
+    o = orders_by_priority(spark, sf_dir)
+    both = o.join(disjoint_split(spark, sf_dir), "observer")
+    share = lambda s: F.count_if(F.col("split") == s) / F.count("*")
+    near = (F.abs(share("train") - 0.6) < 0.03) & (F.abs(share("validation") - 0.2) < 0.03) & (F.abs(share("test") - 0.2) < 0.03)
+    return both.groupBy("taxon").agg(F.count("*").alias("groups"), F.count_distinct("observer").alias("observers"), F.count_distinct("split").alias("splits"), near.alias("near"))
+
+
+def orders_by_priority(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("observer"), F.substring("o_orderpriority", 1, 1).cast("long").alias("taxon"))
+
+
 @query()
 def disjoint_split(spark, sf_dir):
     """Customers dealt whole to three splits of orders by priority."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("observer"), F.substring("o_orderpriority", 1, 1).cast("long").alias("taxon"))
-    return select.observer_split(o, {"train": 0.6, "validation": 0.2, "test": 0.2}, 5)
+    return select.observer_split(orders_by_priority(spark, sf_dir), {"train": 0.6, "validation": 0.2, "test": 0.2}, 5)
