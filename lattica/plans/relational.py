@@ -585,6 +585,18 @@ def event_fold_caps(spark, sf_dir):
     return fold.accepted(table(spark, sf_dir, "events"), "event_type", "user_id", "event_id").select("event_type", "event_id", "user_id")
 
 
+@query("""WITH e AS (SELECT event_type, user_id, event_id // 3 AS id FROM events), d AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id, id) AS copy FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY id DESC) AS place FROM d WHERE copy = 1),
+f AS (SELECT event_type, first, row_number() OVER (PARTITION BY event_type ORDER BY first DESC) AS n FROM (SELECT event_type, user_id, max(id) AS first FROM e GROUP BY ALL)),
+c AS (SELECT event_type, min(first) AS cut, count(*) AS came FROM f WHERE n <= 40 GROUP BY 1),
+s AS (SELECT d.event_type, CASE WHEN came >= 40 AND d.id < cut THEN 'stopped' WHEN d.copy > 1 THEN 'duplicate' WHEN k.place > 2 THEN 'capped' ELSE 'accepted' END AS state FROM d JOIN c USING (event_type) JOIN k ON k.event_type = d.event_type AND k.user_id = d.user_id AND k.id = d.id)
+SELECT event_type, state, count(*) AS events FROM s GROUP BY ALL""")
+def intake_attrition(spark, sf_dir):
+    """Events by what intake does with them; ids are made to repeat."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id", F.floor(F.col("event_id") / 3).alias("id"))
+    return fold.attrition(e, "event_type", "user_id", "id", 2, 40)
+
+
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def windowed_counts(spark, sf_dir):
     return fold.windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"]).select("start", "event_type", "events", r("total", 4).alias("total"))

@@ -25,6 +25,20 @@ def accepted(events: DataFrame, key: str, user: str, order: str, per_user: int =
     return capped.join(last, key).filter((F.col("came") < users) | (F.col(order) >= F.col("cut"))).drop("cut", "came")
 
 
+def attrition(events: DataFrame, key: str, user: str, order: str, per_user: int = 2, users: int = 20) -> DataFrame:
+    """key, state, events: what becomes of every event of accepted(): stopped (behind the `users`-th user's first event, not looked at), duplicate (an id seen before), capped, or accepted. Ranks go by (key, id) and (key, user); a key's own facts are one row."""
+    once = events.groupBy(key, user, order).agg(F.count("*").alias("times"))
+    firsts = once.groupBy(key, user).agg(F.max(order).alias("first"))
+    cut = top_per_group(firsts, [key], [F.desc("first")], users).groupBy(key).agg(F.min("first").alias("cut"), F.count("*").alias("came"))
+    rank = F.row_number().over(Window.partitionBy(key, user).orderBy(F.desc(order)))
+    told = once.withColumn("rank", rank).join(cut, key)
+    stopped = (F.col("came") >= users) & (F.col(order) < F.col("cut"))
+    first = F.when(stopped, "stopped").when(F.col("rank") > per_user, "capped").otherwise("accepted")
+    again = F.when(stopped, "stopped").otherwise("duplicate")
+    each = F.explode(F.array(F.struct(first.alias("state"), F.lit(1).cast("long").alias("n")), F.struct(again.alias("state"), (F.col("times") - 1).alias("n"))))
+    return told.select(key, each.alias("s")).groupBy(key, F.col("s.state").alias("state")).agg(F.sum("s.n").alias("events")).filter("events > 0")
+
+
 def stop_reason(events: DataFrame, key: str, user: str, order: str, users: int = 20, budget: int | None = None) -> DataFrame:
     """key, users, pages' rows and why intake stopped."""
     g = events.groupBy(key).agg(F.count_distinct(user).alias("users"), F.count("*").alias("rows"))
