@@ -25,9 +25,11 @@ candidate text holds bound from above what it can share, which removes every tex
 cannot reach 0.8 with any other (exactly, not by a cap). The rest are first compared with
 their bucket's hub, the member with the fewest such shingles; pairs that this leaves in
 one class are not compared again. Two members of different classes can only be linked if
-they share a shingle that the hub lacks, which is rare and the key that brings them
-together, or if both share enough with the hub itself, which needs a partner shorter than
-the hub. Both are exact, so no candidate link between different texts is lost.
+they share a shingle that the hub lacks, or if both share enough with the hub itself, which
+needs a partner shorter than the hub. The former are brought together by the rarest such
+shingles alone, a prefix filter: with the shingles that the hub lacks first and rarest
+first, the first one that two linked texts share is among the fifth of a text that it can do
+without. Both are exact, so no candidate link between different texts is lost.
 Classes are connected components by label propagation on tables in the shared folder.
 
 Every row is judged by its own text, whatever its doc_id, which may be null or repeated:
@@ -45,7 +47,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, map_arrow, table, worker_cache, written
@@ -257,9 +259,10 @@ def link(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) ->
     own = unique_shingles(texts)
     able = nodes.join(texts.select("node"), "node", "left_semi").join(own, "node", "left").withColumn("n_own", F.coalesce("n_own", F.lit(0)))
     able = written(able.filter(F.col("n") - F.col("n_own") >= F.lit(similarity) * F.col("n") - 1e-9), "able")
-    rows = buckets(able)
-    # each member with its bucket's hub, the text that shares most
-    hub = rows.groupBy("bucket").agg(F.min(F.struct("n_own", "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
+    # each member with its bucket's hub, the text that shares most: one row a bucket, from partial aggregates
+    rows = able.select("node", "n", "n_own", F.explode("keys").alias("bucket"))
+    hub = rows.groupBy("bucket").agg(F.min(F.struct("n_own", "node")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hub = written(hub.select("bucket", F.col("hub.node").alias("hub")), "hubs")
     stars = written(rows.join(hub, "bucket").select("hub", "node", "n", "n_own").distinct(), "stars")
     star = written(compared(stars.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, similarity), "star")
     links = star.filter("linked").select("a", "b")
@@ -271,8 +274,11 @@ def link(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) ->
     facts = ["node", "n", "n_own", "o", "class"]
     second = [F.col(c).alias(f"{c}2") for c in facts]
     beside = known.select("hub", *facts, F.explode("outside").alias("shingle"))
-    mixed_up = beside.groupBy("hub", "shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("hub", "shingle")
-    beside = written(beside.join(mixed_up, ["hub", "shingle"]), "beside")
+    mixed_up = beside.groupBy("hub", "shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("holders")).filter("low <> high").select("hub", "shingle", "holders")
+    # of those, rarest first, only a prefix can hold the first that two linked texts share: all but one of the shingles that a text can do without
+    one_text = Window.partitionBy("hub", "node")
+    rank, spare = F.row_number().over(one_text.orderBy("holders", "shingle")), F.col("o") + F.count("*").over(one_text) - F.ceil(F.lit(similarity) * F.col("n") - 1e-9)
+    beside = written(beside.join(mixed_up, ["hub", "shingle"]).withColumns({"rank": rank, "spare": spare}).filter("rank <= spare + 1").drop("holders", "rank", "spare"), "beside")
     cross = (F.col("class") != F.col("class2")) & reaches(similarity)
     pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
     rare = beside.join(beside.select("hub", "shingle", *second), ["hub", "shingle"]).filter((F.col("node") < F.col("node2")) & cross).select(*pair)
