@@ -147,10 +147,22 @@ def hash_ordered_sample(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(stable_hex(F.lit(42), F.col("vec_id")).alias("h"), "vec_id").orderBy("h", "vec_id").limit(25)
 
 
+MEANS = ("correct", "top3", "nll", "brier")
+
+
+@query(f"""WITH {POOLED_SQL}, c AS (SELECT g, label, k, {", ".join(f"avg({m}) AS {m}" for m in MEANS)}, {", ".join(f"avg(CASE WHEN bin = {i} THEN correct - confidence ELSE 0.0::DOUBLE END) AS b{i}" for i in range(15))} FROM sc GROUP BY ALL),
+l AS (SELECT k, avg(a) AS a FROM (SELECT k, label, avg(correct) AS a FROM c GROUP BY ALL) GROUP BY k),
+m AS (SELECT k, {", ".join(f"avg({m}) AS {m}" for m in MEANS)}, {" + ".join(f"abs(avg(b{i}))" for i in range(15))} AS ece FROM c GROUP BY k)
+SELECT k, 'macro_correct' AS metric, round(a, 8) AS estimate, 'OK' AS status FROM l {" ".join(f"UNION ALL SELECT k, '{x}', round({x}, 8), 'OK' FROM m" for x in (*MEANS, "ece"))}""")
+def metric_points(spark, sf_dir):
+    """What of the intervals below does not depend on the draws: estimates and status."""
+    return metric_intervals(spark, sf_dir).select("k", "metric", r("estimate").alias("estimate"), "status")
+
+
 @query()
 def metric_intervals(spark, sf_dir):
     """Intervals of accuracy, top-3, likelihood, Brier score and calibration error by size; seeded."""
-    means = ["correct", "top3", "nll", "brier"]
+    means = list(MEANS)
     bins = [f"b{i}" for i in range(15)]
     parts = [F.avg(m).alias(m) for m in means] + [F.avg(F.when(F.col("bin") == i, F.col("correct") - F.col("confidence")).otherwise(F.lit(0.0))).alias(f"b{i}") for i in range(15)]
     c = scored(spark, sf_dir).groupBy("g", "label", "observer", "k").agg(*parts)
