@@ -8,7 +8,7 @@ key. The positional filter keeps keys with room for the window around them; a wi
 then verified word by word.
 
 One plan for all sizes. Shingles are 64-bit hashes. Before positions become rows, a bitmap
-of the wanted hashes (16 bits a hash, at most 2**22 bits) leaves out nearly all others
+of the wanted hashes (64 bits a hash, at most 2**22 bits) leaves out nearly all others
 inside the document's row; what it lets through is joined exactly. Windows and hits are
 tables in the shared folder, so Catalyst knows their size and broadcasts them up to its
 threshold; beyond, the joins are shuffled and AQE splits a hot key.
@@ -52,22 +52,27 @@ def shingles(windows: DataFrame) -> DataFrame:
 
 
 class Bitmap:
-    """Hashes that are wanted, as bits: bounded, exact only in what it lets through."""
+    """Hashes that are wanted, two bits each: bounded, exact only in what it leaves out. With 64 bits a hash one in a thousand others passes."""
 
     def __init__(self, keys: DataFrame):
         n = keys.agg(F.count("*")).first()[0]
         low, high = BITMAP_BITS
-        self.bits = min(high, max(low, (16 * n).bit_length()))
-        place = F.shiftrightunsigned("key", 64 - self.bits + 6).alias("place")
-        found = keys.groupBy(place).agg(F.bit_or(F.expr("shiftleft(1L, CAST(key & 63 AS int))")).alias("word")).collect()  # at most 2**16 numbers
+        self.bits = min(high, max(low, (64 * n).bit_length()))
+        probes = F.explode(F.array(*[F.struct(F.expr(w).alias("place"), F.expr(f"shiftleft(1L, {b})").alias("bit")) for w, b in self.probes("key")]))
+        found = keys.select(probes.alias("p")).groupBy("p.place").agg(F.bit_or("p.bit").alias("word")).collect()  # at most 2**16 numbers
         self.words = [0] * (1 << (self.bits - 6))
         for r in found:
             self.words[r.place] = r.word
 
+    def probes(self, key: str) -> list[tuple[str, str]]:
+        """SQL of (place of the word, bit in it), from different bits of the hash."""
+        size = self.bits - 6
+        return [(f"CAST(shiftrightunsigned({key}, {64 - size}) AS int)", f"CAST({key} & 63 AS int)"), (f"CAST(shiftrightunsigned({key}, 6) & {(1 << size) - 1} AS int)", f"CAST(shiftrightunsigned({key}, 32) & 63 AS int)")]
+
     def test(self, key: str) -> str:
         """SQL of whether a hash may be wanted."""
         held = f"CAST(split('{','.join(map(str, self.words))}', ',') AS array<bigint>)"
-        return f"getbit(get({held}, CAST(shiftrightunsigned({key}, {64 - self.bits + 6}) AS int)), CAST({key} & 63 AS int)) = 1"
+        return " AND ".join(f"getbit(get({held}, {w}), {b}) = 1" for w, b in self.probes(key))
 
 
 def hits(docs: DataFrame, wanted: DataFrame, widths: list[int]) -> DataFrame:
