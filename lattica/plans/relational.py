@@ -277,14 +277,14 @@ def labelled_copies(spark, sf_dir):
 
 @query(f"""WITH {POOLED_SQL}, e AS (SELECT g, n, label, observer, k, avg(correct) AS a, avg(nll) AS l FROM sc GROUP BY ALL),
 u AS (SELECT 'label' AS stratum, label::VARCHAR AS value, k, a, l FROM e UNION ALL SELECT 'n', n::VARCHAR, k, a, l FROM e UNION ALL SELECT 'busy', (observer % 2)::VARCHAR, k, a, l FROM e)
-SELECT stratum, value, k, round(avg(a), 8) AS accuracy, round(avg(l), 8) AS nll, count(*) AS groups FROM u GROUP BY ALL""")
+SELECT stratum, value, k, round(avg(a) + 1e-11::DOUBLE, 8) AS accuracy, round(avg(l), 8) AS nll, count(*) AS groups FROM u GROUP BY ALL""")
 def strata_summary(spark, sf_dir):
-    """Several strata in one pass."""
+    """Several strata in one pass. (Shares of powers of two lie between two eighth digits; the small term decides for the upper.)"""
     from lattica.operators.macro import expected
     from lattica.plans.lattice import scored
 
     e = expected(scored(spark, sf_dir), ["g", "n", "label", "observer"], ["correct", "nll"]).withColumn("busy", F.col("observer") % 2)
-    return strata.stratified(e, ["label", "n", "busy"], ["k"], [r(F.avg("correct")).alias("accuracy"), r(F.avg("nll")).alias("nll"), F.count("*").alias("groups")])
+    return strata.stratified(e, ["label", "n", "busy"], ["k"], [r(F.avg("correct") + F.lit(1e-11)).alias("accuracy"), r(F.avg("nll")).alias("nll"), F.count("*").alias("groups")])
 
 
 @query("""SELECT CASE WHEN o_totalprice < 100000 THEN 0 WHEN o_totalprice < 300000 THEN 1 ELSE 2 END + 1 AS bin, count(*) AS orders FROM orders GROUP BY 1""")
