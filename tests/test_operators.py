@@ -552,3 +552,17 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_page_faults(spark):
     df = spark.createDataFrame([("t", 0, 0, 9), ("t", 0, 1, 7), ("t", 1, 0, 7), ("t", 1, 1, 3)], "key string, page int, place int, id long")
     assert [(r.page, r.place) for r in fold.page_faults(df, "key", "page", "place", "id").collect()] == [(1, 0)]
+
+
+def test_rounded_is_what_duckdb_rounds_to(spark):
+    import duckdb
+
+    # products beside a half, halves of both signs, large and special values
+    xs = [0.062812500000000004, 0.0628125, 0.1234565, 2.5e-9, -0.5, -1.5, 0.49999999999999994, 1e300, 2.0**60 + 1, float("inf"), None]
+    xs += [(i / 1e9 + (3 * i + 1) / 1e9) / 2 for i in range(123_456, 50_000_000, 77_777)] + [i / 1e7 for i in range(5, 10_000_000, 9_990)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = df.select(V.rounded(F.col("x"), 9).alias("a"), V.rounded(F.col("x"), 6).alias("b"), V.rounded(F.col("x"), 0).alias("c")).collect()
+    sql = "SELECT round(?::DOUBLE, 9), round(?::DOUBLE, 6), round(?::DOUBLE, 0)"
+    wanted = [duckdb.execute(sql, [x] * 3).fetchall()[0] for x in xs if x != 1e300]
+    assert [tuple(r) for r, x in zip(got, xs, strict=True) if x != 1e300] == wanted
+    assert got[xs.index(1e300)].a == pytest.approx(1e300)
