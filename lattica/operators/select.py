@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,18 +151,28 @@ def targets(available: DataFrame, fixed: int | None, low: int, high: int) -> Dat
     return available.select("taxon", F.least(F.lit(low), "groups").cast("int").alias("lower"), F.least(F.lit(high), "groups").cast("int").alias("upper"))
 
 
-def observer_split(groups: DataFrame, fractions: dict[str, float], seed: int, most: int = 200_000) -> DataFrame:
-    """observer, split: whole observers, large ones first, each to the split whose taxon shares it brings closest to the wanted ones; then single moves while they help and leave every taxon in every split where it can be. A heuristic: no optimum is claimed. groups: observer, taxon."""
-    spark = groups.sparkSession
+def observer_split(groups: DataFrame, fractions: dict[str, float], seed: int, most: int = 200_000, rare: int = 50) -> DataFrame:
+    """observer, split: whole observers, large ones first, each to the split whose taxon shares it brings closest to the wanted ones; then single moves while they help and leave every taxon in every split where it can be. A heuristic: no optimum is claimed. Beyond `most` cells of observer and taxon, observers are dealt to blocks of about that many, each split by itself in a task: shares that are near in every block are near in all. So that a taxon can come into every split, the observers of one with at most `rare` a block share a block (an observer's rarest taxon decides). groups: observer, taxon."""
     counts = groups.groupBy("observer", "taxon").agg(F.count("*").alias("n"))
-    cells = counts.count()
-    if cells > most:
-        raise ValueError(f"{cells} cells; the heuristic is meant for up to {most}")
-    table: dict[int, dict[int, int]] = {}
-    for o, t, n in counts.collect():
-        table.setdefault(o, {})[t] = n
-    order = [r[0] for r in counts.select("observer").distinct().orderBy(stable_hex(F.lit(seed), F.col("observer"))).collect()]
-    order.sort(key=lambda o: -sum(table[o].values()))
+    blocks = max(1, -(-counts.count() // most))
+    kinds = counts.groupBy("taxon").agg(F.count("*").alias("observers"))
+    own = counts.join(kinds, "taxon").groupBy("observer").agg(F.min(F.struct("observers", "taxon")).alias("rarest"), F.array_sort(F.collect_list(F.struct("taxon", "n"))).alias("cells"))
+    block = F.when(F.col("rarest.observers") <= rare * blocks, F.xxhash64("rarest.taxon")).otherwise(F.xxhash64("observer"))
+    kind = groups.schema["observer"].dataType.simpleString()
+
+    def deal(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("order_key")
+        table = {o: {c["taxon"]: c["n"] for c in cells} for o, cells in zip(rows["observer"].to_pylist(), rows["cells"].to_pylist(), strict=True)}
+        placed = dealt(table, fractions)
+        return pa.table({"observer": pa.array(list(placed), rows.schema.field("observer").type), "split": pa.array(list(placed.values()), pa.string())})
+
+    keyed = own.select("observer", "cells", stable_hex(F.lit(seed), F.col("observer")).alias("order_key"), F.pmod(block, F.lit(blocks)).alias("block"))
+    return keyed.groupBy("block").applyInArrow(deal, f"observer {kind}, split string")
+
+
+def dealt(table: dict[int, dict[int, int]], fractions: dict[str, float]) -> dict[int, str]:
+    """The split of each observer; table: groups by observer and taxon, observers in the order in which equally large ones come."""
+    order = sorted(table, key=lambda o: -sum(table[o].values()))
     total: dict[int, int] = {}
     for row in table.values():
         for t, n in row.items():
@@ -194,5 +205,4 @@ def observer_split(groups: DataFrame, fractions: dict[str, float], seed: int, mo
             put(o, b, 1)
         if not moved:
             break
-    kind = groups.schema["observer"].dataType.simpleString()
-    return spark.createDataFrame(sorted(placed.items()), f"observer {kind}, split string")
+    return placed

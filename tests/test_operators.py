@@ -580,3 +580,15 @@ def test_vertex_cover_takes_small_components_together(spark):
     got = dedup.vertex_cover(edges, edges.select(F.col("a").alias("id"), F.col("a").alias("root")).unionAll(edges.select("b", "a")).distinct(), nodes)
     assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a call a component
     assert {r.id for r in got.collect() if r.chosen and r.exact} == set(range(0, 400, 4)) and got.count() == 400
+
+
+def test_observer_split_in_blocks(spark):
+    rows = [(o, t) for o in range(600) for t in range(1, 4) for _ in range(1 + (o * t) % 3)] + [(o, 9) for o in range(5, 605, 100)]
+    df = spark.createDataFrame(rows, "observer long, taxon long")
+    wanted = {"train": 0.6, "validation": 0.2, "test": 0.2}
+    got = select.observer_split(df, wanted, 1, most=400)
+    assert got.count() == got.select("observer").distinct().count() == 600
+    n = {(r.taxon, r.split): r["count"] for r in df.join(got, "observer").groupBy("taxon", "split").count().collect()}
+    assert len(n) == 12  # the rare taxon too is in every split
+    for t in (1, 2, 3):
+        assert all(abs(n[t, s] / sum(n[t, x] for x in wanted) - share) < 0.03 for s, share in wanted.items())
