@@ -592,3 +592,25 @@ def test_observer_split_in_blocks(spark):
     assert len(n) == 12  # the rare taxon too is in every split
     for t in (1, 2, 3):
         assert all(abs(n[t, s] / sum(n[t, x] for x in wanted) - share) < 0.03 for s, share in wanted.items())
+
+
+def test_draws_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(0, o, o % 3, float(x)) for o, x in enumerate(rng.normal(0.02, 1, 900))]
+    df = spark.createDataFrame(rows, "f int, o long, label int, x double")
+    whole = one(infer.cluster_interval(df, "x", "label", "o", ["f"], 1000, 5))
+    p = one(infer.signflip(df, "x", ["f"], 1000, 5)).p
+    points = {r.metric: r for r in infer.metric_intervals(df, ["f"], "o", "label", ["x"], ["x"], 300, 5).collect()}
+    monkeypatch.setattr(infer, "CHUNK", 50)
+    each = df.select("f", "o", "x").checkpoint()
+    chunks = infer._chunks(each, ["f"], F.col("o"), "o", ["x"]).collect()
+    assert len(chunks) == 18 and sum(len(r.x) for r in chunks) == 900 and max(len(r.x) for r in chunks) < 100
+    sizes = np.array(chunks[0].sizes)
+    assert all(sum(infer._times(5, 0, 20, sizes, i).sum(1) for i in range(len(sizes))) == 900)
+    parts = one(infer.cluster_interval(df, "x", "label", "o", ["f"], 1000, 5))
+    assert parts.estimate == pytest.approx(whole.estimate) and parts.clusters == 900
+    assert (parts.low, parts.high) == pytest.approx((whole.low, whole.high), abs=0.02)
+    assert one(infer.signflip(df, "x", ["f"], 1000, 5, cluster="o")).p == pytest.approx(p, abs=0.06)
+    again = {r.metric: r for r in infer.metric_intervals(df, ["f"], "o", "label", ["x"], ["x"], 300, 5).collect()}
+    for m, r in points.items():
+        assert again[m].estimate == pytest.approx(r.estimate) and (again[m].low, again[m].high) == pytest.approx((r.low, r.high), abs=0.03)
