@@ -7,11 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.numbering import checkpoints
+
+#: Rows up to which a table of by-groups is broadcast.
+FEW = 100_000
+
 
 def quantile_edges(rows: DataFrame, column: str, parts: int, by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear quantile edges of a column, repeated edges once."""
-    at = F.array(*[F.lit(i / parts) for i in range(parts + 1)])
-    return rows.groupBy(*by).agg(F.array_distinct(F.percentile(column, at)).alias("edges"))
+    """Exact linear quantile edges of a column, repeated edges once. The values, equal ones counted first, are sorted by range partitions and found by their ranks, so no task holds a by-group; without values the edges are null."""
+    checkpoints(rows.sparkSession)
+    order = [*by, column]
+    w = Window.partitionBy("_part").orderBy(*order)
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(*order).agg(F.count("*").alias("_n"))
+    within = counted.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_end", F.sum("_n").over(w)).checkpoint()
+    sizes = within.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    ranked = within.join(F.broadcast(before), "_part").withColumn("_end", F.col("_end") + F.col("_before"))  # one number a partition
+    spans = ranked.groupBy(*by).agg(F.min(F.col("_end") - F.col("_n")).alias("_first"), F.sum("_n").alias("_all")).checkpoint()
+    few = F.broadcast(spans) if not by or spans.limit(FEW + 1).count() <= FEW else spans
+    each = ranked.join(few, list(by)) if by else ranked.crossJoin(few)
+    places = [F.lit(i / parts) * (F.col("_all") - 1) for i in range(parts + 1)]
+    wanted = F.array_distinct(F.array(*[f(x) for x in places for f in (F.floor, F.ceil)]))
+    last = F.col("_end") - F.col("_first")
+    hit = each.withColumn("_at", F.filter(wanted, lambda k: (k < last) & (k >= last - F.col("_n")))).filter(F.size("_at") > 0)
+    found = hit.groupBy(*by).agg(F.max("_all").alias("_all"), F.flatten(F.collect_list(F.transform("_at", lambda k: F.struct(k.alias("key"), F.col(column).cast("double").alias("value"))))).alias("_values"))
+    value = lambda k: F.get(F.filter("_values", lambda v: v["key"] == k), F.lit(0))["value"]
+    linear = lambda x: F.when(F.floor(x) == F.ceil(x), value(F.floor(x))).otherwise((F.ceil(x) - x) * value(F.floor(x)) + (x - F.floor(x)) * value(F.ceil(x)))
+    edges = F.when(F.col("_all").isNotNull(), F.array_distinct(F.array(*[linear(x) for x in places])))
+    return found.select(*by, edges.alias("edges"))
 
 
 def quantile_bin(rows: DataFrame, column: str, parts: int, name: str = "bin") -> DataFrame:
@@ -83,8 +106,9 @@ def covariate_report(rows: DataFrame, covariates: Sequence[str], value: str, lab
 def covariate_strata(rows: DataFrame, covariates: Sequence[str], value: str, label: str, parts: int = 4) -> DataFrame:
     """covariate, bin (quantile bins of its available rows; repeated edges once), rows, labels, macro (mean of the label means of the value); a covariate of one value has none."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates]))
-    long = rows.select(label, F.col(value).alias("y"), pairs.alias("c")).select(label, "y", "c.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    checkpoints(rows.sparkSession)
+    long = rows.select(label, F.col(value).alias("y"), pairs.alias("c")).select(label, "y", "c.*").filter("x IS NOT NULL AND y IS NOT NULL").checkpoint()
     edges = quantile_edges(long, "x", parts, ["covariate"]).filter(F.size("edges") > 1)
-    binned = long.join(edges, "covariate").withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x")))))
+    binned = long.join(F.broadcast(edges), "covariate").withColumn("bin", F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("x")))))
     per = binned.groupBy("covariate", "bin", label).agg(F.avg("y").alias("m"), F.count("*").alias("n"))
     return per.groupBy("covariate", "bin").agg(F.sum("n").alias("rows"), F.count("*").alias("labels"), F.avg("m").alias("macro"))

@@ -614,3 +614,15 @@ def test_draws_in_chunks(spark, monkeypatch):
     again = {r.metric: r for r in infer.metric_intervals(df, ["f"], "o", "label", ["x"], ["x"], 300, 5).collect()}
     for m, r in points.items():
         assert again[m].estimate == pytest.approx(r.estimate) and (again[m].low, again[m].high) == pytest.approx((r.low, r.high), abs=0.03)
+
+
+def test_quantile_edges_by_ranks(spark):
+    rng = np.random.default_rng(6)
+    xs = {0: rng.normal(size=501).tolist(), 1: rng.integers(0, 4, 300).astype(float).tolist(), 2: [7.0]}
+    df = spark.createDataFrame([(b, x) for b, v in xs.items() for x in v] + [(1, None)], "b int, x double")
+    edges = strata.quantile_edges(df, "x", 4, ["b"])
+    assert "percentile" not in edges._jdf.queryExecution().optimizedPlan().toString()  # which holds a by-group's values
+    got = {r.b: r.edges for r in edges.collect()}
+    for b, v in xs.items():
+        assert got[b] == pytest.approx(sorted(set(np.quantile(v, [0, 0.25, 0.5, 0.75, 1]))))
+    assert one(strata.quantile_edges(df, "x", 2)).edges == pytest.approx(np.quantile(sum(xs.values(), []), [0, 0.5, 1]))
