@@ -57,3 +57,13 @@ def test_harm_and_help(spark, every):
             steps = [(c, found[tuple(sorted((*m, i)))]) for m, c in found.items() if len(m) == k for i in set(range(n)) - set(m)]
             want[k] = [a + b for a, b in zip(want.get(k, [0, 0, 0]), (1, (1, 0) in steps, (0, 1) in steps))]
     assert {r.k: [r.groups, r.any_harmful, r.any_helpful] for r in lattice.harm_and_help(spark, folder).collect()} == want
+
+
+def test_majority_correctness(spark, every):
+    folder, groups = every
+    want = {}
+    for n, found in groups.values():
+        for k in range(1, n + 1):
+            xs = [c for m, c in found.items() if len(m) == k]
+            want[k] = [a + b for a, b in zip(want.get(k, [0, 0]), (1, 2 * sum(xs) >= len(xs)))]
+    assert {r.k: [r.groups, r.majority_correct] for r in lattice.majority_correctness(spark, folder).collect()} == want
