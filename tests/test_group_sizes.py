@@ -67,3 +67,18 @@ def test_majority_correctness(spark, every):
             xs = [c for m, c in found.items() if len(m) == k]
             want[k] = [a + b for a, b in zip(want.get(k, [0, 0]), (1, 2 * sum(xs) >= len(xs)))]
     assert {r.k: [r.groups, r.majority_correct] for r in lattice.majority_correctness(spark, folder).collect()} == want
+
+
+def test_paired_budget_delta(spark, tmp_path):
+    groups = tables(spark, str(tmp_path), [1, 2, 5, 6, 7, 70, 13, 8, 9])  # 70 have no masks
+    want = {}
+    for y, v in groups.values():
+        if len(v) > 1:
+            found = outcomes(y, v, (1, 2))
+            mean = [sum(xs) / len(xs) for k in (1, 2) for xs in [[c for m, c in found.items() if len(m) == k]]]
+            want.setdefault(y, []).append(mean[1] - mean[0])
+    got = {r.label: r for r in lattice.paired_budget_delta(spark, str(tmp_path)).collect()}
+    assert {y: r.groups for y, r in got.items()} == {y: len(ds) for y, ds in want.items()}
+    for y, ds in want.items():
+        assert got[y].delta == pytest.approx(sum(ds) / len(ds), abs=1e-8)
+        assert (got[y].gains, got[y].losses) == (sum(d > 1e-12 for d in ds), sum(d < -1e-12 for d in ds))
